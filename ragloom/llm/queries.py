@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import bpe, crf, licenses, mix, prefixes, quality, substrings
+from ragloom.llm import ann, bpe, crf, language, licenses, mix, prefixes, quality, substrings
 from ragloom.llm.jaccard import similar_classes
 
 #: Token budget of op6 and share of a toxic verdict of op10.
@@ -34,6 +34,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    model = language.learnt(docs.where(~held))
+    out = language.identify(docs.select("doc_id", "text", held.alias("held_out")), model, carry=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix.mixed(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -81,6 +89,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     seen = _fold("doc_id", 3) != 1
@@ -93,11 +106,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
 }
 
