@@ -1 +1,5 @@
 """Named queries."""
+
+from ragloom.plans import bookkeeping, search, texts
+
+__all__ = ["bookkeeping", "search", "texts"]
