@@ -116,8 +116,8 @@ def is_heading(node: Node) -> bool:
     """h1 to h6, or text that is mostly bold; nested bold elements count once each."""
     if node.tag in HEADINGS:
         return True
-    whole = len(node.text())
-    bold = len(node.text()) if node.tag in _BOLD else sum(len(n.text()) for n in node.find(*_BOLD))
+    whole = len(node.text(""))
+    bold = whole if node.tag in _BOLD else sum(len(n.text("")) for n in node.find(*_BOLD) if not any(n is c for b in node.find(*_BOLD) for c in b.walk()))
     return whole > 0 and bold / max(1, whole) >= BOLD_SHARE
 
 

@@ -59,7 +59,7 @@ def judge_messages(context: Column, question: Column, answer: Column) -> Column:
 def mark(reply: Column) -> Column:
     """The first number of a judge's reply, at most 10; null without one."""
     number = F.nullif(F.regexp_extract(reply, r"([0-9]+(?:[.][0-9]+)?)", 1), F.lit(""))
-    return F.least(number.cast("double"), F.lit(10.0))
+    return F.when(number.isNotNull(), F.least(number.cast("double"), F.lit(10.0)))
 
 
 def sampled(passages: DataFrame, id_col: str, n: int = 60) -> DataFrame:
