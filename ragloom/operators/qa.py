@@ -84,6 +84,6 @@ def evaluated(rows: DataFrame, answer: str, reference: str, ids: str, relevant:
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """The offline encoder: a bag of hashed words, of unit length; a blank text has no vector."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
-    return F.when(F.size(words) > 0, V.normalised(counts))
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+    counts = V.let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))
+    return V.let(counts, lambda c: F.when(F.exists(c, lambda x: x > 0), V.normalised(c)))
