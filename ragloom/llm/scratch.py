@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured bytes are at most this.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 

@@ -17,6 +17,7 @@ repeated, and a walk over repeated edges spells a repeated passage. The steps:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,12 @@ from pyspark.sql import functions as F
 
 from ragloom.llm import spread
 from ragloom.llm.scratch import drop, sized, stored
-from ragloom.llm.textwords import U, blocks, bounds, gram_hashes, long_gram_hashes, sliding_min, word_hashes
+from ragloom.llm.textwords import U, blocks, bounds, gram_hashes, long_gram_hashes, mixed, sliding_min, word_hashes
 
 #: Words of an anchor k-mer, at most; shorter windows use half their length.
 ANCHOR = 16
 #: Items that a task collects before it packs them.
 FLUSH = 1 << 20
-_RUNS = "u bigint, runs binary"
 
 
 def _blocks(batch: pa.RecordBatch, window: int, seen: set[int]) -> Iterator[tuple]:
@@ -75,35 +75,23 @@ def _anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(positions: np.ndarray) -> bytes:
-    """Sorted distinct positions as (start, count) pairs."""
+    """Sorted distinct positions as runs: the gap before each and its length, deflated."""
     cut = np.flatnonzero(np.diff(positions) != 1) + 1
-    start = np.concatenate([positions[:1], positions[cut]])
+    start = np.concatenate([positions[:1], positions[cut]]).astype(np.int64)
     count = np.diff(np.concatenate([[0], cut, [len(positions)]]))
-    return np.stack([start, count], 1).astype(np.uint32).tobytes()
+    gap = start - np.concatenate([[0], (start + count)[:-1]])
+    return zlib.compress(np.stack([gap, count]).astype(np.uint32).tobytes(), 1)
 
 
-def _positions(blobs: list[bytes], length: int) -> np.ndarray:
-    """A flag per position from such pairs."""
+def _positions(runs: bytes, length: int) -> np.ndarray:
+    """A flag per position from such runs."""
+    gap, count = np.frombuffer(zlib.decompress(runs), np.uint32).reshape(2, -1).astype(np.int64)
+    end = np.cumsum(gap + count)
     flag = np.zeros(length + 1, np.int32)
-    for blob in blobs:
-        runs = np.frombuffer(blob, np.uint32).reshape(-1, 2).astype(np.int64)
-        np.add.at(flag, np.minimum(runs[:, 0], length), 1)
-        np.add.at(flag, np.minimum(runs.sum(1), length), -1)
-    return np.cumsum(flag)[:length] > 0
-
-
-def _found(owner: np.ndarray, position: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Per owner its positions as runs."""
-    if not len(owner):
-        return [], []
-    order = np.lexsort((position, owner))
-    owner, position = owner[order], position[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-    ids, runs = [], []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        ids.append(int(owner[a].astype(np.int64)))
-        runs.append(_runs(np.unique(position[a:b])))
-    return ids, runs
+    # distinct starts and distinct ends, so plain indexing adds each
+    flag[np.minimum(end - count, length)] += 1
+    flag[np.minimum(end, length)] -= 1
+    return np.cumsum(flag[:length]) > 0
 
 
 class _Dealer:
@@ -132,21 +120,33 @@ class _Dealer:
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(order)))
         several = np.repeat(size > 1, size)
-        ids, runs = _found(owner[order][several], position[order][several])
+        known, known_at = owner[order][several], position[order][several]
         multi = np.zeros(len(order), np.uint8)
         multi[order[at]] = size > 1
         lead = np.sort(order[at])  # as they came, so that a source's rows stay together
         pack = spread.Packer(self.buckets, [U] * self.hashes + [np.uint32, np.uint8])
         pack.add(((hashes[0][lead] >> U(32)) * U(self.buckets)) >> U(32), owner[lead].view(U), *(h[lead] for h in hashes), position[lead], multi[lead])
-        for batch in pack.batches():
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["bucket", "blob", "u", "runs"])
-        if ids:
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(runs, pa.binary())], ["bucket", "blob", "u", "runs"])
+        yield from _kind(pack, 0)
+        yield from _kind(_by_owner(known.view(U), known_at, self.buckets), 1)
 
 
-_DEALT = "bucket int, blob binary, u bigint, runs binary"
+def _by_owner(owner: np.ndarray, position: np.ndarray, parts: int) -> spread.Packer:
+    """Positions packed by their owner over `parts`."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    pack = spread.Packer(parts, [np.uint32])
+    if len(owner):
+        pack.add(mixed(owner) % U(parts), owner, position[order])
+    return pack
+
+
+def _kind(pack: spread.Packer, kind: int) -> Iterator[pa.RecordBatch]:
+    for batch in pack.batches():
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), kind, np.int32))], ["bucket", "blob", "kind"])
+
+
+#: kind 0: items to compare; kind 1: coordinates already known as repeated.
+_DEALT = "bucket int, blob binary, kind int"
 
 
 def _deal_anchors(window: int, buckets: int):
@@ -194,39 +194,55 @@ def _deal_windows(window: int, buckets: int):
     return run
 
 
-def _repeated(hashes: int):
-    """Per source the positions, in this bucket, of items that another coordinate also has."""
+def _repeated(hashes: int, parts: int):
+    """The coordinates of the bucket's items that another coordinate also has, and those known before, packed by source."""
 
     def run(table: pa.Table) -> pa.Table:
-        owners, index, payload = spread.unpacked(table.column("blob"), [U] * hashes + [np.uint32, np.uint8])
-        *keys, position, multi = payload
-        order = np.argsort(keys[0], kind="stable") if hashes == 1 else np.lexsort((keys[1], keys[0]))
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for k in keys:
-            k = k[order]
-            new[1:] |= k[1:] != k[:-1]
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(order)))
-        index, position, multi = index[order], position[order], multi[order]
-        # rows of one coordinate may come from several tasks that saw a copy of its text
-        coordinate = (index.astype(U) << U(32)) | position
-        apart = np.minimum.reduceat(coordinate, at) != np.maximum.reduceat(coordinate, at)
-        again = np.repeat(apart | (np.maximum.reduceat(multi, at) > 0), size)
-        ids, runs = _found(owners[index[again]].view(np.int64), position[again])
-        return pa.table({"u": pa.array(ids, pa.int64()), "runs": pa.array(runs, pa.binary())})
+        kind = table.column("kind").to_numpy()
+        owner, place = [np.zeros(0, U)], [np.zeros(0, np.uint32)]
+        blobs = table.column("blob").combine_chunks()
+        if (kind == 0).any():
+            owners, index, payload = spread.unpacked(blobs.filter(pa.array(kind == 0)), [U] * hashes + [np.uint32, np.uint8])
+            *keys, position, multi = payload
+            order = np.argsort(keys[0], kind="stable") if hashes == 1 else np.lexsort((keys[1], keys[0]))
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for k in keys:
+                k = k[order]
+                new[1:] |= k[1:] != k[:-1]
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, len(order)))
+            index, position, multi = index[order], position[order], multi[order]
+            # rows of one coordinate may come from several tasks that saw a copy of its text
+            coordinate = (index.astype(U) << U(32)) | position
+            apart = np.minimum.reduceat(coordinate, at) != np.maximum.reduceat(coordinate, at)
+            again = np.repeat(apart | (np.maximum.reduceat(multi, at) > 0), size)
+            owner.append(owners[index[again]])
+            place.append(position[again])
+        if (kind == 1).any():
+            owners, index, (position,) = spread.unpacked(blobs.filter(pa.array(kind == 1)), [np.uint32])
+            owner.append(owners[index])
+            place.append(position)
+        batches = list(_by_owner(np.concatenate(owner), np.concatenate(place), parts).batches())
+        return pa.Table.from_batches(batches, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
     return run
 
 
-def _by_source(dealt: DataFrame, hashes: int, name: str) -> DataFrame:
-    """(u, found): each source's repeated positions, as a list of run lists of bounded total size."""
-    dealt = stored(dealt, f"{name}-dealt")
-    reduced = dealt.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeated(hashes), _RUNS)
-    known = dealt.where("bucket is null").select("u", "runs")
-    out = stored(reduced.union(known).groupBy("u").agg(F.collect_list("runs").alias("found")), name)
-    drop(dealt)
-    return out
+def _compacted(table: pa.Table) -> pa.Table:
+    """Consecutive repeated edges of each source as paths."""
+    owners, index, (position,) = spread.unpacked(table.column("blob"), [np.uint32])
+    both = np.unique((index.astype(U) << U(32)) | position)
+    index, position = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1, [len(index)]])
+    runs = [_runs(position[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"u": pa.array(owners[index[cut[:-1]]].view(np.int64)), "found": pa.array(runs, pa.binary())})
+
+
+def _by_source(dealt: DataFrame, hashes: int, parts: int, name: str) -> DataFrame:
+    """(u, found): each source's repeated positions as runs."""
+    reduced = dealt.groupBy("bucket").applyInArrow(_repeated(hashes, parts), spread.SCHEMA)
+    return stored(reduced.groupBy("bucket").applyInArrow(_compacted, "u bigint, found binary"), name)
 
 
 def _cut(window: int, carry: list[str], text_at: str):
@@ -285,17 +301,18 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", window: int = 35,
     copies = texts.groupBy("u", F.md5("text").alias("m")).count().where("count > 1").groupBy("u").agg(F.max("count").alias("copies"))
     length = texts.agg(F.sum(F.length("text"))).first()[0] or 0
 
-    anchors = texts.mapInArrow(_deal_anchors(window, spread.bucket_count(length // 50, 1_000_000)), _DEALT)
-    anchored = _by_source(anchors, 1, "passages-anchors")
-    windows = texts.join(sized(anchored, row_bytes=512), "u").select("u", "text", "found")
-    paths = _by_source(windows.mapInArrow(_deal_windows(window, spread.bucket_count(length // 20, 500_000)), _DEALT), 2, "passages-paths")
+    # about a sixth of the bytes are words, a tenth of these anchors; of the windows, far from all are dealt
+    parts = spread.bucket_count(length // 50, 1_000_000)
+    anchored = _by_source(texts.mapInArrow(_deal_anchors(window, parts), _DEALT), 1, parts, "passages-anchors")
+    windows = texts.join(sized(anchored, "found"), "u").select("u", "text", "found")
+    paths = _by_source(windows.mapInArrow(_deal_windows(window, spread.bucket_count(length // 20, 500_000)), _DEALT), 2, parts, "passages-paths")
     # a text with copies is repeated as a whole, whatever its windows share with other texts
     known = stored(paths.join(copies, "u", "full_outer"), "passages-known")
     drop(anchored, paths)
 
     names = [f"c{i}" for i in range(len(carry))]  # apart from any name of the input
     full = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), text.alias("text"), F.xxhash64(text).alias("u"))
-    full = full.join(sized(known, row_bytes=512), "u", "left")
+    full = full.join(sized(known, "found"), "u", "left")
     schema = ", ".join([*(f"{n} {full.schema[n].dataType.simpleString()}" for n in names), _CUT])
     out = full.select(*names, "text", "found", "copies").mapInArrow(_cut(window, names, "text"), schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "n_words", "n_removed", "kept", "spans")
