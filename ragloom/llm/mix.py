@@ -83,6 +83,7 @@ def _decided(docs: DataFrame, sized: DataFrame, carry: list[str], source_col: st
     reached = buckets.withColumn("upto", F.sum("s").over(at))
     edge = _same(reached.alias("r"), plan.alias("p"), F.col("r.source"), F.col("p.source")).where((F.col("upto") >= F.col("rest")) & (F.col("rest") > 0))
     edge = edge.groupBy(F.col("r.source").alias("source")).agg(F.min_by(F.struct("b", (F.col("upto") - F.col("s")).alias("before"), "rest"), "b").alias("e")).select("source", "e.*")
+    edge = stored(edge, "mix-edges")  # a row a source: its size is known, and Spark broadcasts it where it is small
     # within it, document by document
     near = _same(sized.alias("d"), edge.alias("e"), F.col("d.source"), F.col("e.source")).where(F.substring("d.h", 1, _DIGITS) == F.col("e.b"))
     near = near.groupBy(F.col("d.source").alias("source"), "h", "b", "before", "rest").agg(F.sum("size").alias("s"))
