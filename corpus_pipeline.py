@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether these decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    out = bpe.round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
 

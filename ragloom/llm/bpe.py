@@ -23,7 +23,7 @@ from ragloom.llm.textwords import U, blocks, word_hashes
 
 _NONE = np.int32(0x7FFFFFFF)
 #: Widest matrix in bytes, cells of a matrix, and distinct pieces kept between blocks.
-WIDEST, CELLS, KEPT = 256, 1 << 18, 500_000
+WIDEST, CELLS, KEPT = 256, 1 << 18, 250_000
 
 
 class Ranks:
@@ -290,3 +290,18 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", into:
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows and columns of the input with `into`, the bytes (binary) of the ids; null and empty ids give no bytes."""
     return _apply(df, ids_col, "array<int>", lambda x, y: decoding(path, pattern, x, y), into, "binary")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode and decode in one Python stage, so that a task needs one worker and ids do not cross to the JVM between them."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns) if c not in (ids, decoded)}  # apart from any name of the input
+    part = df.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text_col).cast("string").alias("x"))
+    to_ids, to_bytes = encoding(path, pattern, "x", "y"), decoding(path, pattern, "y", "z")
+
+    def run(batches):
+        for batch in to_bytes(to_ids(batches)):
+            yield batch.select([*names.values(), "y", "z"])
+
+    schema = ", ".join([*(f"{n} {part.schema[n].dataType.simpleString()}" for n in names.values()), "y array<int>, z binary"])
+    out = part.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("y").alias(ids), F.col("z").alias(decoded))

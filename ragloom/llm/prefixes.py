@@ -20,7 +20,7 @@ from ragloom.llm.pieces import Known, code_points
 from ragloom.llm.textwords import U, blocks, mixed, word_hashes
 
 #: Distinct words kept between blocks, and words whose programme runs together.
-KEPT, TOGETHER = 400_000, 20_000
+KEPT, TOGETHER = 250_000, 20_000
 _BLANK = 0x2581
 _STEP = U(0x9E3779B97F4A7C15)
 _EMPTY = U(2**64 - 1)

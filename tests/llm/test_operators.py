@@ -168,6 +168,7 @@ def test_bpe_long_and_tables(spark, table, reference, hard, none):
     assert out.columns == [*hard.columns, "ids", "decoded"]
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in out.collect())
     assert bpe.encode(none, path, pattern).count() == 0
+    assert sorted(map(str, bpe.round_trip(hard, path, pattern).collect())) == sorted(map(str, out.collect()))
     found = {r["doc_id"]: r for r in queries.round_trip(hard).collect()}
     for i, t in list(enumerate(hard_texts()))[1:]:
         ids = reference.encode_ordinary(t or "")
