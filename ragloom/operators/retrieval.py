@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,67 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: Callable[[
     return scored.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
 
+#: Vectors that a block of `top_k_blocks` holds, about; and the distance in score that rounding to 6 places can bridge.
+BLOCK, NEAR = 2048, 2e-6
+
+
+def _best(k: int, by: tuple[str, ...], skip_self: bool):
+    """Of a block of queries against a block of vectors, every pair that can be among the k best (of each value of `by`)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        qs, vs = (table.column(c).combine_chunks().flatten() for c in ("qs", "vs"))
+        query, ids = qs.field("query").to_numpy(zero_copy_only=False), vs.field("id").to_numpy(zero_copy_only=False)
+        q, v = (x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1) for x in (qs.field("qvec"), vs.field("vec")))
+        score = q @ v.T
+        if skip_self:
+            score[query[:, None] == ids[None, :]] = -np.inf
+        keys: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(vs.field(c).to_pylist() for c in by), strict=True) if by else [()] * len(ids)):
+            keys.setdefault(key, []).append(i)
+        left, right = [], []
+        for own in keys.values():
+            part = score[:, own]
+            least = np.partition(part, -k, axis=1)[:, -k, None] if k < len(own) else -np.inf
+            a, b = np.nonzero((part >= least - NEAR) & (part > -np.inf))
+            left.append(a)
+            right.append(np.array(own)[b])
+        a, b = np.concatenate(left), np.concatenate(right)
+        exact = np.zeros(len(a))
+        for d in range(q.shape[1]):  # in the order in which a row's aggregate adds
+            exact += q[a, d] * v[b, d]
+        # of exactly equal scores the k of least id suffice
+        kind = np.zeros(len(ids), np.int64)
+        for j, own in enumerate(keys.values()):
+            kind[own] = j
+        order = np.lexsort((ids[b], -exact, kind[b], a))
+        a, b, exact = a[order], b[order], exact[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (kind[b[1:]] != kind[b[:-1]]) | (exact[1:] != exact[:-1])
+        at = np.arange(len(a))
+        keep = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+        a, b = a[keep], b[keep]
+        return pa.Table.from_arrays([qs.field("query").take(pa.array(a)), *(vs.field(c).take(pa.array(b)) for c in by), vs.field("id").take(pa.array(b)), pa.array(exact[keep])], ["query", *by, "id", "score"])
+
+    return run
+
+
+def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, by: tuple[str, ...] = (), skip_self: bool = False) -> DataFrame:
+    """As `top_k` by inner product, for any number of queries: blocks of them against blocks of all vectors, a matrix product each.
+
+    A pair of blocks sends on only what can be among its k best; these scores are added up as `top_k` adds them. Null
+    vectors are left out; all others have one length.
+    """
+    queries, vectors = queries.where("qvec is not null"), vectors.where("vec is not null")
+    block = lambda df, c: F.pmod(F.xxhash64(c), F.lit(-(-df.count() // BLOCK) or 1))
+    one = queries.groupBy(block(queries, "query").alias("qb")).agg(F.collect_list(F.struct("query", "qvec")).alias("qs"))
+    two = vectors.groupBy(block(vectors, "id").alias("vb")).agg(F.collect_list(F.struct("id", "vec", *by)).alias("vs"))
+    types = {"query": queries.schema["query"], "id": vectors.schema["id"]} | {c: vectors.schema[c] for c in by}
+    schema = ", ".join(f"{c} {types[c].dataType.simpleString()}" for c in ("query", *by, "id")) + ", score double"
+    found = one.crossJoin(two).groupBy("qb", "vb").applyInArrow(_best(k, by, skip_self), schema).withColumn("score", F.round("score", 6))
+    at = Window.partitionBy("query", *by).orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
+
+
 def fused(ranked: DataFrame, query: str = "query") -> DataFrame:
     """(query, ids): the distinct ids over all of a query's lists, ascending."""
     return ranked.groupBy(query).agg(F.array_sort(F.collect_set("id")).alias("ids"))

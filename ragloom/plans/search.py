@@ -50,6 +50,36 @@ def context_assembly(spark, d):
     return R.context(R.top_k(queries, vectors, 5, skip_self=True), rows)
 
 
+_EVERY = """
+pairs AS (SELECT q.vec_id AS query, v.vec_id AS id, v.label, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id)"""
+
+
+def _every(spark, d, *by):
+    """As _vectors, with every vector as a query."""
+    v = table(spark, d, "embeddings")
+    return v.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec")), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), *by)
+
+
+@query(f"""
+WITH {_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM pairs)
+SELECT query, id, score, CAST(rank AS INT) AS rank, label FROM r WHERE rank <= 5""")
+def vector_topk_every(spark, d):
+    queries, vectors = _every(spark, d)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return R.hydrated(R.top_k_blocks(queries, vectors, 5, skip_self=True), rows).select("query", "id", "score", "rank", "label")
+
+
+@query(f"""
+WITH {_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY query, id % 3 ORDER BY score DESC, id) AS rank FROM pairs),
+u AS (SELECT DISTINCT query, id FROM r WHERE rank <= 5)
+SELECT query, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM u GROUP BY query""")
+def fused_topk_every(spark, d):
+    queries, vectors = _every(spark, d, (F.col("vec_id") % 3).alias("field"))
+    found = R.fused(R.top_k_blocks(queries, vectors, 5, by=("field",), skip_self=True))
+    return found.select("query", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id ORDER BY n DESC, min(struct_pack(a := ts, b := event_id)) LIMIT 5")
 def id_frequency_topk(spark, d):
     return R.most_common(table(spark, d, "events"), "user_id", 5, "ts", "event_id")
@@ -95,6 +125,21 @@ def recall_mrr(spark, d):
     return ids.join(near, "query").select("query", S.recall_at_k(F.col("ids"), F.col("relevant")).alias("recall"), F.round(S.reciprocal_rank(F.col("ids"), F.col("relevant")), 4).alias("rr"))
 
 
+@query(f"""
+WITH {_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM pairs),
+n AS (SELECT p.query, arg_min(p.id, struct_pack(a := -p.score, b := p.id)) AS relevant FROM pairs p JOIN embeddings q ON q.vec_id = p.query WHERE p.label = q.label GROUP BY p.query)
+SELECT n.query, CAST(coalesce(max(CASE WHEN r.id = relevant THEN 1 END), 0) AS INT) AS recall, coalesce(max(CASE WHEN r.id = relevant THEN round(1.0::DOUBLE / rank, 4) END), 0.0::DOUBLE) AS rr
+FROM n JOIN r ON r.query = n.query AND rank <= 5 GROUP BY n.query""")
+def recall_mrr_every(spark, d):
+    queries, vectors = _every(spark, d, "label")
+    ranked = R.top_k_blocks(queries, vectors, 5, skip_self=True)
+    ids = ranked.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    near = R.top_k_blocks(queries, vectors.withColumnRenamed("label", "field"), 1, by=("field",), skip_self=True)
+    near = near.join(labels, "query").where("field = own").select("query", F.col("id").alias("relevant"))
+    return ids.join(near, "query").select("query", S.recall_at_k(F.col("ids"), F.col("relevant")).alias("recall"), F.round(S.reciprocal_rank(F.col("ids"), F.col("relevant")), 4).alias("rr"))
+
+
 @query("""
 SELECT conv_id, turn, text AS question, (SELECT arg_min(a.text, a.turn) FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn > u.turn AND a.role = 'assistant') AS answer
 FROM conversations u WHERE role = 'user'""")
