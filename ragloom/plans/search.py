@@ -125,6 +125,18 @@ def recall_mrr(spark, d):
     return ids.join(near, "query").select("query", S.recall_at_k(F.col("ids"), F.col("relevant")).alias("recall"), F.round(S.reciprocal_rank(F.col("ids"), F.col("relevant")), 4).alias("rr"))
 
 
+@query(f"""
+WITH {_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM pairs),
+c AS (SELECT query, string_agg(text, chr(10) || chr(10) ORDER BY id) AS context FROM r JOIN documents ON id = doc_id WHERE rank <= 5 AND length(text) > 0 GROUP BY query)
+SELECT query, CAST(length(context) AS BIGINT) AS n_chars, sha256(context) AS context_sha256 FROM c""")
+def context_whole(spark, d):
+    """Whole contexts of every vector's search; of their width only the length and a digest are returned."""
+    queries, vectors = _every(spark, d)
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    found = R.context(R.top_k_blocks(queries, vectors, 5, skip_self=True), rows)
+    return found.select("query", F.length("context").cast("long").alias("n_chars"), F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"))
+
+
 @query(f"""
 WITH {_EVERY}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM pairs),
 n AS (SELECT p.query, arg_min(p.id, struct_pack(a := -p.score, b := p.id)) AS relevant FROM pairs p JOIN embeddings q ON q.vec_id = p.query WHERE p.label = q.label GROUP BY p.query)

@@ -24,3 +24,13 @@ def test_blocks_equal_pairs(spark, monkeypatch):
     for by in ((), ("kind",)):
         found, wanted = (f(asked, frame.where("vec is not null"), 5, by=by, skip_self=True) for f in (R.top_k_blocks, R.top_k))
         assert rows(found.toPandas()) == rows(wanted.toPandas())
+
+
+def test_context_is_whole(spark):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    hits = {}
+    for r in registry.QUERIES["vector_topk_every"](spark, SF).collect():
+        hits.setdefault(r["query"], []).append(r["id"])
+    wanted = {q: "\n\n".join(text[i] for i in sorted(ids) if text.get(i)) for q, ids in hits.items()}
+    found = {r["query"]: r["n_chars"] for r in registry.QUERIES["context_whole"](spark, SF).collect()}
+    assert found == {q: len(t) for q, t in wanted.items() if t} and max(found.values()) > 5 * 20 + 8
