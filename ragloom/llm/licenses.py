@@ -56,6 +56,12 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC0-1.0 notice": "Licensed under CC0 1.0.",
 }
 
+# fixed values: notices that are looked for in lines and paragraphs besides KNOWN
+NOTICES = {
+    "MIT notice": "Released under the MIT License.",
+}
+_PARAGRAPH = r"\r?\n[ \t\r]*\n"
+
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, words apart by one blank, spellings made equal."""
@@ -90,6 +96,48 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text"
     return out.join(known, F.col("digest") == F.col("_known_digest"), "left").select(*keep, "digest", F.col("_known_license").alias("license"))
 
 
+def _looked_for(spark: SparkSession) -> DataFrame:
+    """(license, digest) of KNOWN and NOTICES."""
+    rows = spark.createDataFrame(sorted([*KNOWN.items(), *NOTICES.items()]), "license string, text string")
+    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+
+
+def scan_lines(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, `digest` and `license` as of `scan`, and `notices`.
+
+    `notices` are the licences whose digest a whole line or paragraph (text between blank lines) of the text has:
+    distinct, in order of name, joined by '; ', null where there are none. Repeated and null ids give a row each.
+    """
+    known = _looked_for(docs.sparkSession) if known is None else known
+    held = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("_held"))
+    text = F.col("text")
+    units = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, _PARAGRAPH)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).crossJoin(F.broadcast(held))
+    names = F.filter(F.transform(units, lambda x: F.try_element_at(F.col("_held"), digest(x))), lambda x: x.isNotNull())
+    out = rows.select("id", digest(text).alias("digest"), F.array_join(F.array_sort(F.array_distinct(names)), "; ").alias("notices"), "_held")
+    return out.select(F.col("id").alias(id_col), "digest", F.try_element_at("_held", F.col("digest")).alias("license"), F.when(F.col("notices") != "", F.col("notices")).alias("notices"))
+
+
+def _form(x: str) -> str:
+    """DuckDB's form of canonical."""
+    out = rf"""' ' || trim(regexp_replace(lower(regexp_replace({x}, '{_COPYRIGHT_LINE}', ' ', 'g')), '{_PUNCTUATION}', ' ', 'g')) || ' '"""
+    for old, new in SPELLINGS:
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"trim({out})"
+
+
+def _sql_lines() -> str:
+    """DuckDB's form of the query op1_license_lines."""
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted([*KNOWN.items(), *NOTICES.items()]))
+    return f"""
+WITH known AS (SELECT sha256({_form("t")}) AS digest, min(name) AS license FROM (VALUES {values}) AS k(name, t) GROUP BY 1),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{_PARAGRAPH}'))) AS x FROM documents),
+n AS (SELECT doc_id, string_agg(DISTINCT license, '; ' ORDER BY license) AS notices FROM (SELECT doc_id, sha256({_form("x")}) AS digest FROM u) JOIN known USING (digest) GROUP BY doc_id),
+d AS (SELECT doc_id, sha256({_form("text")}) AS digest FROM documents)
+SELECT d.doc_id, d.digest, known.license, n.notices FROM d LEFT JOIN known ON d.digest = known.digest LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def _sql() -> str:
     """DuckDB's form of the query op1."""
 
@@ -108,3 +156,4 @@ SELECT d.doc_id, d.digest, known.license FROM d LEFT JOIN known ON d.digest = kn
 
 
 SQL = _sql()
+LINES_SQL = _sql_lines()
