@@ -1,8 +1,11 @@
 """Cases of the review's findings: each failed before its change."""
 
-import pytest
+import textwrap
+from pathlib import Path
 
-from conftest import SF
+import duckdb
+
+from conftest import SF, rows
 from ragloom.llm import licenses, queries
 
 
@@ -30,3 +33,25 @@ def test_license_lines_of_table(spark):
     labelled = queries.op1_license_lines(spark, SF).where("notices is not null").select("doc_id")
     wanted = docs.where(r"text rlike '(?m)^[^\\n]*[Ll]icense[^\\n]*$'").select("doc_id")
     assert {r[0] for r in labelled.collect()} == {r[0] for r in wanted.collect()} and not labelled.isEmpty()
+
+
+def test_whole_licenses_wrapped_and_titled(spark):
+    wrap = lambda t, n: "\n\n".join("\n".join(textwrap.wrap(p, n)) for p in t.split("\n\n"))
+    head = "Copyright (c) 2020 Jane Doe\n\n"
+    texts = licenses.KNOWN | licenses.BODIES
+    cases = {}
+    for name, title in {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License'}.items():
+        for n in range(40, 100, 7):
+            cases[f"{title}\n\n{head}{wrap(texts[name], n)}"] = name
+        cases[f"The {title}\r\n\r\nCopyright Jane Doe\r\nAll rights reserved.\r\n" + wrap(texts[name], 78).upper().replace("\n", "\r\n")] = name
+    isc = texts["ISC"].replace("above copyright", "above\ncopyright")
+    cases |= {"ISC License\n\n" + isc: "ISC", "MIT License": None, "MIT License\n" + head: None, texts["MIT"] + " but not for Jane.": None}
+    for name in ("Apache-2.0", "GPL-3", "MPL-2.0"):
+        if (file := Path("/usr/share/common-licenses", name)).exists():
+            cases[file.read_text()] = {"GPL-3": "GPL-3.0"}.get(name, name)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    found = licenses.scan_lines(frame)
+    assert {r["doc_id"]: r["license"] for r in found.collect()} == dict(enumerate(cases.values()))
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    assert rows(found.toPandas()) == rows(con.sql(licenses.LINES_SQL).df())
