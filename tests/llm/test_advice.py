@@ -1,12 +1,13 @@
 """Cases of the review's findings: each failed before its change."""
 
+import random
 import textwrap
 from pathlib import Path
 
 import duckdb
 
 from conftest import SF, rows
-from ragloom.llm import licenses, queries
+from ragloom.llm import jaccard, licenses, queries
 
 
 def test_license_lines(spark):
@@ -55,3 +56,34 @@ def test_whole_licenses_wrapped_and_titled(spark):
     con = duckdb.connect()
     con.register("documents", frame.toPandas())
     assert rows(found.toPandas()) == rows(con.sql(licenses.LINES_SQL).df())
+
+
+def links(texts):
+    """Brute force: the number of other texts that each text links to."""
+    split = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    return [sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def family(n, seed=5):
+    """Near copies of one text, with 1 to 6 words changed, some of them twice, and other texts."""
+    draw = random.Random(seed)
+    base = [f"w{i}" for i in range(90)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for at in draw.sample(range(90), 1 + k % 6):
+            w[at] = f"e{k}x{at}"
+        out.append(" ".join(w))
+    return [*out, *out[:4], " ".join(base), "quite another text of seven words", "", "a b", "a b", *(f"other{k} " * 9 for k in range(3))]
+
+
+def test_links_counted(spark, monkeypatch):
+    for n, block, rounds in ((40, 128, 256), (60, 9, 16)):
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+        monkeypatch.setattr(jaccard, "GROUP_ROWS", rounds)
+        texts = family(n)
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        found = {r["doc_id"]: r["n_links"] for r in jaccard.similar_classes(frame).collect()}
+        wanted = links(texts)
+        assert found == dict(enumerate(wanted)) and max(wanted) > 15 and len(set(wanted)) > 5
