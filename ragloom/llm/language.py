@@ -3,7 +3,7 @@
 Byte n-grams of a text (lower-cased, runs of anything but letters as one blank) make a TF-IDF vector over
 hashed dimensions, of unit length. Each language has several centroids from spherical k-means over its
 training vectors. A text gets the language of the centroid nearest by cosine, and is rejected where even
-that is farther than the language's own training texts were, by a margin.
+that is farther than nearly all of the language's own training texts were from centroids made without them.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ragloom.llm.textwords import blocks
 TRAIN_EACH = 300
 #: Hashed dimensions, and centroids of each language.
 DIMENSIONS, CENTROIDS = 4096, 4
-#: Rejected is a cosine below this share of the least within the language's training texts; never texts under SHORT bytes.
-MARGIN, SHORT = 0.25, 64
+#: Rejected is a cosine below this quantile of the language's training texts against centroids of the other folds; never texts under SHORT bytes.
+QUANTILE, FOLDS, SHORT = 0.005, 4, 64
 UNKNOWN = "und"
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -84,6 +84,18 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return at
 
 
+def _floor(x: np.ndarray) -> float:
+    """The cosine that all but a QUANTILE of a language's vectors have with centroids of the other folds; none for too few to tell."""
+    if len(x) < 2 * FOLDS:
+        return 0.0
+    fold = np.arange(len(x)) % FOLDS
+    held = []
+    for f in range(FOLDS):
+        rest = x[fold != f]
+        held.append((x[fold == f] @ _kmeans(rest, min(CENTROIDS, len(rest))).T).max(1))
+    return float(np.quantile(np.concatenate(held), QUANTILE, method="lower"))
+
+
 def train(texts: list[str], languages: list[str]) -> Centroids:
     """Centroids from whole texts and their languages; none when there are no texts."""
     names = sorted(set(languages))
@@ -91,13 +103,14 @@ def train(texts: list[str], languages: list[str]) -> Centroids:
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     x = _vectors(counts, idf)
     y = np.array([names.index(v) for v in languages], np.int64)
+    size = np.cumsum([0, *(len(t.encode()) for t in texts)])
     at, of, floor = [], [], np.zeros(len(names))
     for j in range(len(names)):
         own = x[y == j]
         means = _kmeans(own, min(CENTROIDS, len(own)))
         at.append(means)
         of += [j] * len(means)
-        floor[j] = MARGIN * (own @ means.T).max(1).min()
+        floor[j] = _floor(own[np.diff(size)[y == j] >= SHORT])
     return Centroids(names, np.array(of, np.int64), idf, np.concatenate(at) if at else np.zeros((0, DIMENSIONS), np.float32), floor)
 
 

@@ -5,9 +5,10 @@ import textwrap
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 from conftest import SF, rows
-from ragloom.llm import jaccard, licenses, queries
+from ragloom.llm import jaccard, language, licenses, queries
 
 
 def test_license_lines(spark):
@@ -87,3 +88,17 @@ def test_links_counted(spark, monkeypatch):
         found = {r["doc_id"]: r["n_links"] for r in jaccard.similar_classes(frame).collect()}
         wanted = links(texts)
         assert found == dict(enumerate(wanted)) and max(wanted) > 15 and len(set(wanted)) > 5
+
+
+def test_language_rejects_the_unlearned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("octet_length(text) >= 64")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.learnt(docs.where(~held))
+    draw = random.Random(2)
+    noise = [" ".join("".join(draw.choice(a) for _ in range(draw.randint(3, 9))) for _ in range(60)) for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef")]
+    noise.append("Suomi on tasavalta Pohjois-Euroopassa ja sen pääkaupunki on Helsinki. Maassa on tuhansia järviä, joiden rannoilla ihmiset viettävät kesäisin lomaa, uivat, kalastavat ja saunovat myöhään yöhön asti.")
+    frame = spark.createDataFrame(list(enumerate(noise)), "doc_id int, text string")
+    assert all(r["rejected"] for r in language.identify(frame, model).collect())
+    clean = [r["rejected"] for r in language.identify(docs.where(held), model).collect()]
+    print("lost", sum(clean), "of", len(clean), model.languages, model.floor)
+    assert sum(clean) <= 0.03 * len(clean)
