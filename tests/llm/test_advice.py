@@ -102,3 +102,11 @@ def test_language_rejects_the_unlearned(spark):
     clean = [r["rejected"] for r in language.identify(docs.where(held), model).collect()]
     print("lost", sum(clean), "of", len(clean), model.languages, model.floor)
     assert sum(clean) <= 0.03 * len(clean)
+
+
+def test_one_row_of_each_component(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    cases = [(1, a), (1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (None, "alone " * 9), (None, a), (None, b), (4, ""), (4, ""), (None, None)]
+    frame = spark.createDataFrame(cases, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.first_of_each(frame).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, "alone " * 9), (4, ""), (4, ""), (None, None)], key=str)
