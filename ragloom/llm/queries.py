@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import ann, bpe, crf, language, licenses, mix, prefixes, quality, substrings
-from ragloom.llm.jaccard import similar_classes
+from ragloom.llm import ann, bpe, crf, jaccard, language, licenses, mix, prefixes, quality, substrings
 
 #: Token budget of op6 and share of a toxic verdict of op10.
 TOKEN_LIMIT, TOXIC_FROM = 4096, 0.7
@@ -35,7 +34,8 @@ def op1_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(_table(spark, sf_dir, "documents"))
+    out = jaccard.similar_classes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.SQL,
     "op1_license_lines": licenses.LINES_SQL,
+    "op2_jaccard_join": jaccard.SQL,
     "op4_mix_sources": mix.SQL,
+    "op5_substring_dedup": substrings.SQL,
     "op7_quality_rules": quality.SQL,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its measured bytes are at most this.
@@ -48,9 +48,9 @@ def drop(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, *blobs: str, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The frame with a broadcast hint if its measured size keeps to the limit, else as it is."""
+def sized(df: DataFrame, *blobs: str | Column, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if its measured size keeps to the limit, else as it is. `blobs`: columns of bytes or text, or expressions of bytes."""
     size = F.count(F.lit(1)) * row_bytes
     for c in blobs:
-        size = size + F.coalesce(F.sum(F.length(c)), F.lit(0))
+        size = size + F.coalesce(F.sum(F.length(c) if isinstance(c, str) else c), F.lit(0))
     return F.broadcast(df) if df.agg(size.alias("b")).first()["b"] <= limit else df

@@ -13,20 +13,21 @@ U = np.uint64
 
 
 def bucket_count(hashes: int, each: int = 2_000_000) -> int:
-    """Buckets such that each holds about `each` hashes; it grows with the data."""
-    return int(min(65_536, max(12, -(-hashes // each))))
+    """Buckets such that each holds about `each` hashes, however many hashes there are: no bucket outgrows a task."""
+    return int(min(2**31 - 1, max(12, -(-hashes // each))))
 
 
 class Packer:
     """Collects (bucket, owner, payload arrays) and gives packed record batches."""
 
-    def __init__(self, buckets: int, kinds: list[np.dtype], flush: int = 1 << 20):
+    def __init__(self, buckets: int, kinds: list[np.dtype], flush: int = 1 << 19):
         self.buckets, self.kinds, self.limit = buckets, kinds, flush
         self.parts: list[tuple] = []
         self.held = 0
 
     def add(self, bucket: np.ndarray, owner: np.ndarray, *payload: np.ndarray) -> None:
-        self.parts.append((bucket.astype(np.uint16), owner, *payload))
+        # numpy sorts 16-bit keys by radix
+        self.parts.append((bucket.astype(np.uint16 if self.buckets <= 65_536 else np.uint32), owner, *payload))
         self.held += len(bucket)
 
     def full(self) -> bool:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,29 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 … base**(n-1) modulo 2**64."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
+        size = max(1 << 16, 1 << int(n).bit_length())
         have = np.full(size, base, U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 1 << 24:
+        if size <= 1 << 21:
             _POWERS[int(base)] = have
     return have[:n]
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -62,7 +78,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    trim()
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
