@@ -391,7 +391,8 @@ def _verified(spans: DataFrame, texts: DataFrame, window: int) -> bool:
     """Whether every span's words are the words at the coordinate it refers to."""
     wanted = spans.select("u", "p", "n").union(spans.select("ru", "rp", "n")).distinct()
     wanted = stored(wanted.groupBy("u").agg(F.collect_list(F.struct("p", "n")).alias("wanted")), "passages-wanted")
-    rows = texts.join(sized(wanted, F.size("wanted") * 8), "u").select("u", "text", "wanted")
+    # only texts that are wanted take part in the join, which shuffles them where what is wanted is large
+    rows = texts.join(sized(wanted.select("u")), "u", "left_semi").join(sized(wanted, F.size("wanted") * 8), "u").select("u", "text", "wanted")
     found = stored(rows.mapInArrow(_digests(window), "u long, p int, n int, d binary").dropDuplicates(["u", "p", "n"]), "passages-digests")
     one, two = found.withColumnRenamed("d", "d1"), found.select(F.col("u").alias("ru"), F.col("p").alias("rp"), "n", F.col("d").alias("d2"))
     away = spans.join(one, ["u", "p", "n"]).join(two, ["ru", "rp", "n"]).where("d1 != d2")
@@ -483,8 +484,8 @@ def _known(texts: DataFrame, length: int, window: int) -> DataFrame:
         drop(spans, paths, first)
         if _verified(held.where("u != ru or p != rp").select("u", "p", "n", "ru", "rp"), texts, window):
             drop(anchored)
-            runs = F.array_sort(F.collect_list(F.struct("p", "n")))
-            return held.groupBy("u").agg(runs.alias("found"))
+            runs = _stretches(held, "u", "p", "n").select("u", F.struct(F.col("a").alias("p"), (F.col("b") - F.col("a")).alias("n")).alias("x"))
+            return runs.groupBy("u").agg(F.array_sort(F.collect_list("x")).alias("found"))
         drop(held)
     raise ValueError("edges share hashes under every base")
 
