@@ -2,9 +2,10 @@
 
 The index is fitted on a bounded sample: centroids by k-means, codebooks of the residuals' parts, and the
 number of lists to probe, such that the sample's own neighbours are found. Every row is indexed. A query
-goes to the lists whose centroids have the largest inner product with it; within a list, tables of
-asymmetric distances rank all rows, and the first are ranked again by their exact inner product.
-Long lists, and lists that many queries probe, are dealt over several blocks.
+goes to the lists whose centroids have the largest inner product with it. Lists are put together to shelves of
+bounded rows, long lists over several; a query is sent once to each shelf that holds one of its lists. There
+tables of asymmetric distances rank all rows of its lists, and the first are ranked again by their exact inner
+product. The nearest of all shelves are the result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.scratch import stored
+from ragloom.llm.textwords import trim
 
 #: Rows of the sample that the index is fitted on, and of its queries that measure the recall of probing.
 SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 256
@@ -24,8 +26,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 256
 MOST_LISTS, LEAST_LISTS, PART, CODES = 4096, 8, 4, 256
 #: Recall that the probed lists must give within the sample.
 PROBE_RECALL = 0.96
-#: Rows and queries of a block, and rows of a block that are ranked exactly, as a multiple of k.
-BLOCK_ROWS, BLOCK_QUERIES, AGAIN = 4_096, 2_048, 3
+#: Rows of a shelf, queries that meet them in one task, and rows of a shelf that are ranked exactly, as a multiple of k.
+SHELF_ROWS, SHELF_QUERIES, AGAIN = 16_384, 4_096, 16
 
 
 @dataclass
@@ -118,22 +120,29 @@ def _packing(size: int):
     return run
 
 
-def _probing(index: Index):
+def _probing(index: Index, shelves: list[list[int]]):
+    """(q, v, shelf, lists): each query once for each shelf of its lists. shelves[list] are those that hold rows of the list."""
+    held = np.zeros((max((max(x) for x in shelves if x), default=-1) + 1, len(shelves)), bool)
+    for at, on in enumerate(shelves):
+        held[on, at] = True
+
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(len(batch), index.size)
-            lists = index.probed(x)
-            n = lists.shape[1]
-            row = pa.array(np.repeat(np.arange(len(batch)), n))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("v").take(row), pa.array(lists.ravel().astype(np.int32))], ["q", "v", "list"])
+            wanted = np.zeros((len(batch), len(shelves)), bool)
+            np.put_along_axis(wanted, index.probed(x), True, 1)
+            row, shelf = np.nonzero(wanted.astype(np.float32) @ held.T.astype(np.float32))
+            lists = [np.flatnonzero(wanted[r] & held[s]).astype(np.int32) for r, s in zip(row, shelf, strict=True)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(shelf.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["q", "v", "shelf", "lists"])
 
     return run
 
 
 def _searching(index: Index, k: int):
-    """The k rows of a block nearest to each of its queries."""
+    """The k rows of a shelf nearest to each of its queries."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"q": [], "near": []}
@@ -143,20 +152,22 @@ def _searching(index: Index, k: int):
             ids = rows.column("id").to_numpy()
             x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(ids), index.size)
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            base = index.centroids[rows.column("list")[0].as_py()]
-            q_ids = queries.column("q").to_numpy()
+            lists, of = np.unique(rows.column("list").to_numpy(), return_inverse=True)
+            base = index.centroids[lists]
+            q_ids, asked = queries.column("q").to_numpy(), queries.column("lists").to_pylist()
             q = np.frombuffer(b"".join(queries.column("v").to_pylist()), np.float64).reshape(len(q_ids), index.size)
+            books = index.books.astype(np.float32)
             first = min(len(ids), AGAIN * k + 1)
-            step = max(1, (1 << 20) // len(ids))
+            step = max(1, (1 << 21) // len(ids))
             for a in range(0, len(q), step):
                 part = q[a : a + step]
-                table = np.einsum("qmp,mcp->qmc", index.parts(part), index.books)
-                near = np.repeat((part @ base)[:, None], len(ids), 1)
+                table = np.einsum("qmp,mcp->mqc", index.parts(part).astype(np.float32), books)
+                probed = np.stack([np.isin(lists, x) for x in asked[a : a + step]])
+                near = np.where(probed, (part @ base.T).astype(np.float32), np.float32(-np.inf))[:, of]
                 for m in range(codes.shape[1]):
-                    near += table[:, m, codes[:, m]]
+                    near += table[m].take(codes[:, m], 1)
                 for j in range(len(part)):
-                    own = np.flatnonzero(ids == q_ids[a + j])
-                    near[j, own] = -np.inf
+                    near[j, ids == q_ids[a + j]] = -np.inf
                     if first < len(ids):  # all rows above the value that the last of the first has, and the earliest of those equal to it
                         edge = np.partition(near[j], len(ids) - first)[len(ids) - first]
                         above = np.flatnonzero(near[j] > edge)
@@ -168,11 +179,30 @@ def _searching(index: Index, k: int):
                     best = np.argsort(-exact, kind="stable")[:k]
                     out["q"].append(int(q_ids[a + j]))
                     out["near"].append([{"s": s, "id": i} for s, i in zip((-exact[best]).tolist(), ids[pick[best]].tolist(), strict=True)])
+            trim()
         return pa.table({"q": pa.array(out["q"], pa.int64()), "near": pa.array(out["near"], kind)})
 
     return run
 
 
+def _shelved(sizes: dict[int, int], lists: int) -> list[list[int]]:
+    """The shelves of each list: small lists together, as long as a shelf has room; a long list over several of its own."""
+    shelves: list[list[int]] = [[] for _ in range(lists)]
+    at, room = -1, 0
+    for j in sorted(sizes):
+        n = sizes[j]
+        if n > SHELF_ROWS:
+            parts = -(-n // SHELF_ROWS)
+            shelves[j] = list(range(at + 1, at + 1 + parts))
+            at, room = at + parts, 0
+            continue
+        if n > room:
+            at, room = at + 1, SHELF_ROWS
+        shelves[j] = [at]
+        room -= n
+    return shelves
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors` by inner product, its own id apart.
 
@@ -195,16 +225,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     index = fit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(len(sample), -1), rows.count(), k)
 
     filed = stored(rows.mapInArrow(_assigning(index), "id long, v binary, list int, codes binary"), "ann-filed")
-    probes = stored(queries.mapInArrow(_packing(index.size), "id long, v binary").mapInArrow(_probing(index), "q long, v binary, list int"), "ann-probes")
-    # blocks of each list, by rows and by queries; at most MOST_LISTS rows
-    split = lambda df, each, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias(name))
-    plan = split(filed, BLOCK_ROWS, "nr").join(split(probes, BLOCK_QUERIES, "nq"), "list").collect()
-    plan = F.broadcast(spark.createDataFrame([tuple(r) for r in plan], "list int, nr int, nq int"))
-    own = F.pmod(F.xxhash64("id"), F.col("nr")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = filed.join(plan, "list").select("id", "v", "codes", "list", own.alias("br"), every("nq").alias("bq"))
-    right = probes.join(plan, "list").select("q", "v", "list", every("nr").alias("br"), F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("bq"))
-    key = ["list", "br", "bq"]
+    lists = len(index.centroids)  # bounded, and so is what comes to the driver
+    shelves = _shelved({r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}, lists)
+    plan = F.broadcast(spark.createDataFrame(list(enumerate(shelves)), "list int, on array<int>"))
+    probes = queries.mapInArrow(_packing(index.size), "id long, v binary").mapInArrow(_probing(index, shelves), "q long, v binary, shelf int, lists array<int>")
+    probes = stored(probes, "ann-probes")
+    many = F.broadcast(spark.createDataFrame([(r["shelf"], -(-r["count"] // SHELF_QUERIES)) for r in probes.groupBy("shelf").count().collect()], "shelf int, nq int"))
+    own = F.get("on", F.pmod(F.xxhash64("id"), F.size("on")).cast("int"))
+    left = filed.join(plan, "list").select("id", "v", "codes", "list", own.alias("shelf")).join(many, "shelf")
+    left = left.select("id", "v", "codes", "list", "shelf", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
+    right = probes.join(many, "shelf").select("q", "v", "lists", "shelf", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("bq"))
+    key = ["shelf", "bq"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searching(index, k), "q long, near array<struct<s:double,id:long>>")
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("q").alias("query_id"), F.posexplode("near").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -11,6 +11,7 @@ A document's score is its greatest marginal; stretches of tokens above one half
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.textwords import blocks, bounds, word_hashes
 
-#: Documents of each label that the field is trained on, at most: those of least md5 of the id.
-TRAIN_EACH = 1_200
+#: Documents of each label that the field is trained on, at most: those of least md5 of the id. Longer texts than so many bytes are not learnt from.
+TRAIN_EACH, TRAIN_LONGEST = 1_200, 1 << 16
+#: Training sequences with a marked token and without one, at most: a seeded choice.
+TRAIN_MARKED, TRAIN_OTHER = 3_000, 6_000
 #: Weights of features, by hash; rounds and rate of the training; penalty of large weights.
 FEATURES, ROUNDS, RATE, PENALTY = 1 << 18, 60, 0.5, 1e-6
 #: A feature may mark tokens when toxic documents are such a share of those it is in (by rates), and it is chosen as
@@ -45,6 +48,11 @@ class Field:
         return self.weights[features(words)].sum(1)
 
 
+def words_of(text: str) -> list[str]:
+    """Words as scoring takes them: runs of other than ASCII white space."""
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
 def features(words: list[str]) -> np.ndarray:
     """Hashes of each word without its punctuation, in lower case, of its prefixes of 3 to 6 characters, and of a feature that all share."""
     out = np.zeros((len(words), 6), np.int64)
@@ -65,7 +73,7 @@ def train(texts: list[str], toxic: list[int]) -> Field:
     if not (any(toxic) and not all(toxic)):
         return field
     ids: dict[str, int] = {}
-    tokens = [np.array([ids.setdefault(w, len(ids)) for w in t.split()], np.int64) for t in texts]
+    tokens = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
     of = features(list(ids))
     # in how many documents of each label a feature occurs
     seen = np.zeros((2, FEATURES))
@@ -86,8 +94,8 @@ def train(texts: list[str], toxic: list[int]) -> Field:
     x, y = np.concatenate(rows), np.concatenate(labels)
     # sequences with a marked token, and twice as many others
     draw = np.random.Generator(np.random.PCG64(5))
-    marked = draw.permutation(np.flatnonzero(y.any(1)))[:3_000]
-    other = draw.permutation(np.flatnonzero(~y.any(1)))[: max(2_000, 2 * len(marked))][:6_000]
+    marked = draw.permutation(np.flatnonzero(y.any(1)))[:TRAIN_MARKED]
+    other = draw.permutation(np.flatnonzero(~y.any(1)))[: min(TRAIN_OTHER, max(2_000, 2 * len(marked)))]
     pick = np.concatenate([marked, other])
     x, y = x[pick], y[pick]
     real = x >= 0
@@ -264,15 +272,16 @@ def _scoring(field: Field, carry: list[str], with_spans: bool):
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = TRAIN_EACH) -> Field:
     """The field from up to `each` labelled documents of either label, those of least md5 of the id.
 
-    Both tables hold only rows to learn from. Ids in one table alone, and null ids, labels and texts, are left out.
+    Both tables hold only rows to learn from. Ids in one table alone, null ids, labels and texts, and texts over
+    TRAIN_LONGEST bytes are left out; with one label alone, all weights are 0 and every text with words scores one half.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y")).where("id is not null and y is not null")
-    known = known.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").distinct()
+    known = known.join(docs.where(F.octet_length(text_col) <= TRAIN_LONGEST).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").distinct()
     order = [F.md5(F.col("id").cast("string").cast("binary")), "id"]
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(*order).limit(each).collect()]
     ids = spark.createDataFrame([(r["id"], r["y"]) for r in picked], "id long, y int")  # at most 2 · each rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), "id").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_LONGEST).join(F.broadcast(ids), "id").collect()
     rows.sort(key=lambda r: (r["y"], r["id"], r["text"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.textwords import blocks
 
-#: Training texts of each language, at most: those of least md5 of the id. Bytes of them that are used, in all, at most.
-TRAIN_EACH = 300
+#: Training texts of each language, at most: those of least md5 of the id. Longer texts than so many bytes are not learnt from.
+TRAIN_EACH, TRAIN_LONGEST = 300, 1 << 16
 #: Hashed dimensions, and centroids of each language.
 DIMENSIONS, CENTROIDS = 4096, 4
 #: Rejected is a cosine below this quantile of the language's training texts against centroids of the other folds; never texts under SHORT bytes.
@@ -117,14 +117,21 @@ def train(texts: list[str], languages: list[str]) -> Centroids:
 def learnt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = TRAIN_EACH) -> Centroids:
     """Centroids from up to `each` texts of every non-null language; all rows of `docs` may be learnt from.
 
-    The sample comes to the driver: `each` texts for every language the column has.
+    The sample comes to the driver: `each` texts of up to TRAIN_LONGEST bytes for every language the column has. Ids that
+    are no numbers are not learnt from.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).distinct()
-    order = Window.partitionBy("y").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id")
-    ids = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("id", "y")
+    able = F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_LONGEST) & F.col(id_col).isNotNull()
+    known = docs.where(able).select(F.col(id_col).try_cast("long").alias("id"), F.col(lang_col).alias("y")).where("id is not null").withColumn("m", F.md5(F.col("id").cast("string").cast("binary")))
+    # of a large language only ids of hashes so small that about four times as many as are wanted remain
+    sizes = known.groupBy("y").agg(F.approx_count_distinct("id").alias("n")).where(F.col("n") > 4 * each).collect()
+    edge = F.create_map(*(F.lit(x) for r in sizes for x in (r["y"], f"{int(4 * each / r['n'] * 2**32):08x}"))) if sizes else None
+    if sizes:
+        known = known.where(F.coalesce(F.substring("m", 1, 8) <= F.try_element_at(edge, F.col("y")), F.lit(True)))
+    order = Window.partitionBy("y").orderBy("m", "id")
+    ids = known.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("id", "y")
     ids = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in ids.collect()], "id long, y string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("l")).where("text is not null")
-    rows = rows.join(F.broadcast(ids), (rows["id"] == ids["id"]) & (rows["l"] == ids["y"])).select(ids["id"], "y", "text").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("l")).where(F.octet_length("text") <= TRAIN_LONGEST)
+    rows = rows.join(F.broadcast(ids), (rows["id"].try_cast("long") == ids["id"]) & (rows["l"] == ids["y"])).select(ids["id"], "y", "text").collect()
     rows.sort(key=lambda r: (r["y"], r["id"], r["text"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
@@ -149,7 +156,7 @@ def _identifying(model: Centroids, carry: list[str]):
                     b = min(end, a + 256)
                     part = offsets[a - row : b - row + 1]
                     if not len(model.at):
-                        names += [None if x else UNKNOWN for x in letter[a - row : b - row]]
+                        names += [UNKNOWN] * (b - a)
                         scores += [0.0] * (b - a)
                         far += [True] * (b - a)
                         continue
@@ -171,8 +178,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text", carry: l
 
     `score` is the cosine with the nearest centroid, `lang_pred` its language; of centroids equally near, the least
     language's. Texts that are null or have no letter are `und`, score 0 and are rejected; other texts are rejected
-    where the score is under the language's floor. A model without centroids (nothing to learn from) gives null
-    languages and rejects all. Columns of the input named like the new ones are replaced.
+    where the score is under the language's floor. A model without centroids (nothing to learn from) gives `und`
+    and rejects all. Columns of the input named like the new ones are replaced.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score", "rejected")]
     names = [f"c{i}" for i in range(len(keep))]  # apart from any name of the input

@@ -119,10 +119,10 @@ def canonical(text: Column, dropped: str | None = _COPYRIGHT_LINE) -> Column:
     """Lower case, without copyright lines, words apart by one blank, spellings made equal."""
     out = text if dropped is None else F.regexp_replace(text, dropped, " ")
     out = F.trim(F.regexp_replace(F.lower(out), _PUNCTUATION, " "))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    out = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word has blanks of its own
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def body(text: Column) -> Column:
@@ -176,16 +176,18 @@ def scan_lines(docs: DataFrame, known: DataFrame | None = None, id_col: str = "d
 
     `license` is that of the whole text by the digest of its `body`, so that titles and ways of wrapping make no
     difference. `notices` are the licences whose digest a whole line or paragraph (text between blank lines) of the text
-    has: distinct, in order of name, joined by '; ', null where there are none. Repeated and null ids give a row each.
+    has: distinct, in order of name, joined by '; ', null where there are none. Repeated and null ids give a row each;
+    null texts have no digest, licence or notice; other columns of the input are not read.
     """
     known = _looked_for(docs.sparkSession) if known is None else known
     bodies = _bodies(docs.sparkSession) if bodies is None else bodies
     text = F.col("text")
     units = F.array_distinct(F.concat(F.split(text, r"\n"), F.split(text, _PARAGRAPH)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).crossJoin(_held(known, "_known")).crossJoin(_held(bodies, "_bodies"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).crossJoin(_held(known, "_known"))
     names = F.filter(F.transform(units, lambda x: F.try_element_at(F.col("_known"), digest(x))), lambda x: x.isNotNull())
-    whole = F.try_element_at("_bodies", F.sha2(body(text).cast("binary"), 256))
-    out = rows.select("id", digest(text).alias("digest"), whole.alias("license"), F.array_join(F.array_sort(F.array_distinct(names)), "; ").alias("notices"))
+    out = rows.select("id", digest(text).alias("digest"), F.sha2(body(text).cast("binary"), 256).alias("body"), F.array_join(F.array_sort(F.array_distinct(names)), "; ").alias("notices"))
+    # known licences are a table of its own, some dozens of rows unless a larger one is given
+    out = out.join(bodies.select(F.col("digest").alias("body"), "license"), "body", "left")
     return out.select(F.col("id").alias(id_col), "digest", "license", F.when(F.col("notices") != "", F.col("notices")).alias("notices"))
 
 
@@ -193,10 +195,10 @@ def _form(x: str, *dropped: str) -> str:
     """DuckDB's form of canonical, with `dropped` lines out, and of body."""
     for line in dropped:
         x = f"regexp_replace({x}, '{line}', ' ', 'g')"
-    out = rf"""' ' || trim(regexp_replace(lower({x}), '{_PUNCTUATION}', ' ', 'g')) || ' '"""
+    out = rf"""' ' || replace(trim(regexp_replace(lower({x}), '{_PUNCTUATION}', ' ', 'g')), ' ', '  ') || ' '"""
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _values(*texts: dict[str, str]) -> str:
@@ -204,7 +206,7 @@ def _values(*texts: dict[str, str]) -> str:
 
 
 def _sql_lines() -> str:
-    """DuckDB's form of the query op1_license_lines."""
+    """DuckDB's form of scan_lines over documents."""
     fixed = ", ".join(f"('{k}', '{d}')" for k, v in DIGESTS.items() for d in v)
     line, whole = (_COPYRIGHT_LINE,), (_HOLDER_LINE, _TITLE_LINE)
     return f"""
@@ -217,22 +219,5 @@ SELECT d.doc_id, d.digest, bodies.license, n.notices FROM d LEFT JOIN bodies ON
 """
 
 
-def _sql() -> str:
-    """DuckDB's form of the query op1."""
-
-    def form(x: str) -> str:
-        out = rf"""' ' || trim(regexp_replace(lower(regexp_replace({x}, '{_COPYRIGHT_LINE}', ' ', 'g')), '{_PUNCTUATION}', ' ', 'g')) || ' '"""
-        for old, new in SPELLINGS:
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"trim({out})"
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
-    return f"""
-WITH known AS (SELECT sha256({form("t")}) AS digest, min(name) AS license FROM (VALUES {values}) AS k(name, t) GROUP BY 1),
-d AS (SELECT doc_id, sha256({form("text")}) AS digest FROM documents)
-SELECT d.doc_id, d.digest, known.license FROM d LEFT JOIN known ON d.digest = known.digest
-"""
-
-
-SQL = _sql()
-LINES_SQL = _sql_lines()
+#: DuckDB's form of the query op1.
+SQL = _sql_lines()

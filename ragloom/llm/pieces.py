@@ -91,7 +91,10 @@ def split_by(pattern: regex.Pattern, data: np.ndarray, offsets: np.ndarray) -> t
 
 
 class Known:
-    """An integer array for each hash met, up to a number of hashes; flat, so that whole blocks are looked up at once."""
+    """An integer array for each hash met, up to a number of hashes and of integers; flat, so that whole blocks are looked up at once."""
+
+    #: Integers kept between blocks.
+    FLAT = 1 << 22
 
     def __init__(self, most: int):
         self.most = most
@@ -104,7 +107,7 @@ class Known:
 
     def slots(self, hashes: np.ndarray, make) -> np.ndarray:
         """The slot of each distinct hash; make(indices) gives the arrays of those not met before."""
-        if len(self.at) + len(hashes) > self.most and self.at:
+        if (len(self.at) + len(hashes) > self.most or self.used > self.FLAT) and self.at:
             self.clear()
         get = self.at.get
         slot = np.array([get(h, -1) for h in hashes.tolist()], np.int64)

@@ -5,6 +5,10 @@ after the last token of the shorter prefix it leaves: count[i] = count[i - len(t
 tokens may stand side by side is decided by undoing their merges in falling rank (`beside`). A piece
 vocabulary of the kind handled here never joins characters over the start of a word, so the programme
 runs once for each distinct word (a run of blanks and what follows it) and a text's counts are sums.
+Long words (texts without blanks) are cut into stretches that run together: each starts some characters
+early, as if a text began there. Where its last tokens before the cut are those of the stretch before, and its
+counts differ from that one's by a constant, all that follows is the same too; else it starts at other characters
+before the cut, or goes on from what is known there.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from ragloom.llm.textwords import U, blocks, mixed, word_hashes
 
 #: Distinct words kept between blocks, and words whose programme runs together.
 KEPT, TOGETHER = 250_000, 20_000
+#: Characters of a word that is cut into stretches, of a stretch, and of its early start at first; stretches that run together.
+LONG, STRETCH, EARLY, ABREAST = 2_048, 256, 32, 1_024
 _BLANK = 0x2581
 _STEP = U(0x9E3779B97F4A7C15)
 _EMPTY = U(2**64 - 1)
@@ -164,16 +170,63 @@ class Pieces:
     def counts(self, words: list[str]) -> list[np.ndarray]:
         """For each word, the number of tokens of each of its prefixes, from one character to all."""
         size = np.array([len(w) for w in words])
-        out: list = [None] * len(words)
+        out: list = [self._long(w) if len(w) > LONG else None for w in words]
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= LONG]
         for a in range(0, len(order), TOGETHER):
-            self._counts(words, order[a : a + TOGETHER], size, out)
+            part = order[a : a + TOGETHER].tolist()
+            for i, (count, _) in zip(part, self._run([words[i] for i in part]), strict=True):
+                out[i] = count
         return out
 
-    def _counts(self, words: list[str], part: np.ndarray, size: np.ndarray, out: list) -> None:
-        size = size[part]
+    def _long(self, word: str) -> np.ndarray:
+        """The counts of one long word."""
+        cuts = list(range(0, len(word), STRETCH))
+        early = max(EARLY, 2 * self.longest)
+        counts, lasts = np.empty(len(word), np.int32), np.empty(len(word), np.int64)
+
+        def run(pairs: list[tuple[int, int]]) -> None:
+            for (cut, start), x in zip(pairs, self._run([word[s : c + STRETCH] for c, s in pairs]), strict=True):
+                ready[cut].append((start, *x))
+
+        for g in range(0, len(cuts), ABREAST):
+            group = cuts[g : g + ABREAST]
+            ready: dict[int, list] = {a: [] for a in group}
+            run([(a, max(0, a - early)) for a in group])
+            phased = False
+            for j, a in enumerate(group):
+                off = self._shift(ready[a], a, counts, lasts)
+                if off is None and not phased:
+                    # periodic text goes on as it began: starts of every phase, for all stretches that are left
+                    phased = True
+                    starts = [(b, max(0, b - early - p)) for b in group[j:] for p in range(1, self.longest)]
+                    for i in range(0, len(starts), 4 * ABREAST):
+                        run(starts[i : i + 4 * ABREAST])
+                    off = self._shift(ready[a], a, counts, lasts)
+                if off is None:  # from what is known of the characters before
+                    b = a - self.longest
+                    count, last = self._run([word[b : a + STRETCH]], (counts[b:a], lasts[b:a]))[0]
+                    off = (count[self.longest :], last[self.longest :])
+                counts[a : a + STRETCH], lasts[a : a + STRETCH] = off
+                ready[a] = []
+        return counts
+
+    def _shift(self, runs: list, a: int, counts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Counts and last tokens from `a` on, of the first run that agrees with what is known before `a`."""
+        for start, count, last in runs:
+            if not start:
+                return count[a:], last[a:]
+            there = slice(a - self.longest - start, a - start)
+            shift = count[there] - counts[a - self.longest : a]
+            if (last[there] == lasts[a - self.longest : a]).all() and (shift == shift[0]).all():
+                return count[a - start :] - shift[0], last[a - start :]
+        return None
+
+    def _run(self, words: list[str], known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each word, the number of tokens and the last token of each of its prefixes; `known` are those of the first prefixes of a single one."""
+        size = np.array([len(w) for w in words])
         begin = np.cumsum(size) - size
-        points = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         n = len(points)
         h = _chars_hash(points)
         place = np.arange(n) - np.repeat(begin, size)  # of each character in its word
@@ -202,6 +255,9 @@ class Pieces:
         rest = np.argsort(place, kind="stable")
         row = np.searchsorted(place[rest], np.arange(int(size.max(initial=0)) + 1))
         for i in range(len(row) - 1):
+            if known is not None and i < len(known[0]):
+                count[i], last[i] = known[0][i], known[1][i]
+                continue
             here = rest[row[i] : row[i + 1]]
             lone = here[one[here] < 0]
             count[lone] = bytes_[lone] + (count[lone - 1] if i else 0)
@@ -217,8 +273,7 @@ class Pieces:
             e, before, r, whole = e[ok], before[ok], r[ok], whole[ok]
             last[e] = r
             count[e] = 1 + np.where(whole, 0, count[before])
-        for i, a, s in zip(part.tolist(), begin.tolist(), size.tolist(), strict=True):
-            out[i] = count[a : a + s]
+        return [(count[a : a + s], last[a : a + s]) for a, s in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 @cache

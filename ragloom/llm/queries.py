@@ -26,10 +26,6 @@ def _fold(id_col: str, folds: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license")
-
-
-def op1_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_lines(_table(spark, sf_dir, "documents"))
 
 
@@ -109,7 +105,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
-    "op1_license_lines": op1_license_lines,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
@@ -123,7 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licenses.SQL,
-    "op1_license_lines": licenses.LINES_SQL,
     "op2_jaccard_join": jaccard.SQL,
     "op4_mix_sources": mix.SQL,
     "op5_substring_dedup": substrings.SQL,

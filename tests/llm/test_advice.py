@@ -32,7 +32,7 @@ def test_license_lines(spark):
 
 def test_license_lines_of_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labelled = queries.op1_license_lines(spark, SF).where("notices is not null").select("doc_id")
+    labelled = queries.op1_license_scan(spark, SF).where("notices is not null").select("doc_id")
     wanted = docs.where(r"text rlike '(?m)^[^\\n]*[Ll]icense[^\\n]*$'").select("doc_id")
     assert {r[0] for r in labelled.collect()} == {r[0] for r in wanted.collect()} and not labelled.isEmpty()
 
