@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm import bpe, jaccard, language, mix, substrings
-from ragloom.llm.scratch import stored
+from ragloom.llm.scratch import drop, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a language centroid is near enough to; the rest, null and letterless texts go. Learns from the rows of its own input."""
-    model = language.learnt(docs)
-    return language.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}  # apart from the columns that the model adds
+    out = language.identify(docs.select(*(F.col(c).alias(n) for c, n in names.items())), language.learnt(docs), names["text"])
+    return out.where(~F.col("rejected")).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and whether these decode to the text."""
+    """The documents with `ids`, `n_tokens` and `round_trip`, whether the ids decode to the text; columns so named are replaced."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.round_trip(docs, path, pattern)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")]
+    names = {c: f"d{i}" for i, c in enumerate(kept)}  # apart from the columns that the encoder adds
+    out = bpe.round_trip(docs.select(*(F.col(c).alias(n) for c, n in names.items())), path, pattern, text_col=names["text"])
+    same = F.col("decoded") == F.coalesce(F.col(names["text"]), F.lit("")).cast("binary")
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents; each result is written as Parquet and read again, and deleted once the next one is there.
+
+    Empty tables pass through all stages; rows with null ids or texts, repeated rows and further columns are kept or
+    dropped as each stage says.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
