@@ -16,15 +16,19 @@ _TRIM = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *ra
 # fixed values: file extensions of the content types that are kept as files
 EXTENSIONS = {
     "application/pdf": ".pdf",
-    "application/msword": ".doc",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
-    "application/vnd.ms-excel": ".xls",
     "image/jpeg": ".jpg",
     "image/png": ".png",
+    "image/gif": ".gif",
+    "application/zip": ".zip",
+    "application/msword": ".doc",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
 }
 
 # fixed values: common words that lexical ranking leaves out
-STOPWORDS = ("và", "là", "của", "có", "các", "cho", "trong", "một", "được", "với", "khi", "này", "đã", "những", "để", "về", "từ", "ra", "vào", "tại", "nên")
+STOPWORDS = (
+    "là", "có", "và", "của", "cho", "trên", "trong", "với", "một", "các",
+    "những", "rằng", "vì", "nên", "như", "đã", "sẽ", "được", "từ", "để", "khi",
+)
 
 
 def strip(text: Column) -> Column:
@@ -47,8 +51,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def compatible(text: Column) -> Column:
-    """NFKC; plain ASCII texts, which it never changes, do not reach Python."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(nfkc(text))
+    """NFKC; of plain ASCII texts, which it never changes, only a null goes to Python."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.coalesce(nfkc(F.when(~plain, text)), text)
 
 
 def clean_steps(text: Column) -> Column:
@@ -109,20 +114,60 @@ def safe_filename(url: Column, ext: Column, limit: int = 200) -> Column:
     return F.concat(F.when(F.length(name) + F.length(ext) > limit, F.right(name, room)).otherwise(name), ext)
 
 
+def _without_dots(path: Column, relative: bool) -> Column:
+    """A path from the root with its `.` and `..` parts carried out; empty parts within a relative one's are left out."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    if relative:
+        parts = F.filter(parts, lambda x, i: (x != "") | (i == F.size(parts) - 1))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def resolved(page_url: Column, link: Column) -> Column:
-    """Absolute links as they are; root-relative, protocol-relative and sibling links against the page."""
+    """The link's target as seen from the page, by the rules for relative references; links with a scheme stay as they are.
+
+    A link of `http…` is absolute whatever follows; an empty one is the page; `#…` and `?…` replace that part of the page's
+    address.
+    """
     scheme, host = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(page_url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     root = F.concat(scheme, F.lit("://"), host)
-    folder = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    folder = F.regexp_extract(page_url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*/|/)?", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(link.startswith("http"), link)
+        F.when(link.startswith("http") | link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link == "", page_url)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(folder, link))
+        .when(link.startswith("#"), F.concat(F.regexp_extract(page_url, r"^([^#]*)", 1), link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(page_url, r"^([^?#]*)", 1), link))
+        .when(link.startswith("/"), F.concat(root, _without_dots(path, False), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path), True), rest))
     )
 
 
+def is_html(content_type: Column) -> Column:
+    """Whether a content type, with or without parameters, is a page to parse; a null is none."""
+    return F.coalesce(content_type.contains("text/html"), F.lit(False))
+
+
+def pairs_text(pairs: Column, between: str = ": ", apart: str = " | ") -> Column:
+    """A map as `key: value | key: value`, in the order of its keys."""
+    entries = F.array_sort(F.map_entries(pairs))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit(between), F.coalesce(e["value"].cast("string"), F.lit("")))), apart)
+
+
+def request_json(model: str, messages: Column, temperature: float = 0.5, **more: float | int | bool) -> Column:
+    """The body of a chat request."""
+    return F.to_json(F.struct(F.lit(model).alias("model"), messages.alias("messages"), F.lit(temperature).alias("temperature"), *(F.lit(v).alias(k) for k, v in more.items())))
+
+
+def reply_text(body: Column) -> Column:
+    """The content of a chat reply's first choice; null where there is none."""
+    return F.get_json_object(body, "$.choices[0].message.content")
+
+
 def links(html: Column) -> Column:
     """Distinct targets of href and src attributes."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?:href|src)=\"([^\"]*)\""), 1))

@@ -44,14 +44,17 @@ def sections(nodes: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str
     return out.select(doc, "section", F.coalesce(T.first_nonblank(F.col("h"), F.col("m")), F.lit(unnamed)).alias("heading"), F.array_join("parts", "\n").alias("body"))
 
 
-def pack(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = False, length: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
+def pack(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = False, length: Callable[[str], int] | None = None) -> list[str]:
     """Sentences packed greedily up to `size` tokens, each chunk after the first starting with the last ones of the one before.
 
     The carried sentences have fewer than `overlap` tokens between them or are the one that reaches it, and at least
     one new sentence follows them. By default no chunk exceeds `size` unless a single sentence does, and none is empty.
     With `compat`, lengths after a carry count what was left of the full chunk instead of what was carried, so chunks
-    may exceed `size`, and a first sentence over the limit gives an empty chunk, as in the pipeline this replaces.
+    may exceed `size`, and a first sentence over the limit gives an empty chunk, as in the pipeline this replaces; there
+    each length, of a sentence or of several joined, also counts the tokenizer's two special tokens. `length` replaces
+    either measure.
     """
+    length = length or (lambda s: len(s.split()) + 2 * compat)
     chunks: list[str] = []
     held: list[str] = []
     used = 0
@@ -65,7 +68,7 @@ def pack(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = Fa
         carried: list[str] = []
         total = 0
         rest = list(held)
-        while rest and total < overlap:
+        while rest and (length(" ".join(carried)) if compat else total) < overlap:
             carried.insert(0, rest.pop())
             total += length(carried[0])
         if not compat:
@@ -80,12 +83,12 @@ def pack(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = Fa
     return chunks
 
 
-def packed_sentences(df: DataFrame, text_col: str = "text", size: int = 250, overlap: int = 25, compat: bool = False) -> DataFrame:
-    """A row for each chunk of packed sentences; chunks still over `size` are cut into token windows."""
+def packed_sentences(df: DataFrame, text_col: str = "text", size: int = 250, overlap: int = 25, compat: bool = False, length: Callable[[str], int] | None = None) -> DataFrame:
+    """A row for each chunk of packed sentences; chunks still over `size` are cut into token windows. `length` as of `pack`."""
 
     @F.pandas_udf("array<string>")
     def packing(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [] if s is None else pack(list(s), size, overlap, compat))
+        return column.map(lambda s: [] if s is None else pack(list(s), size, overlap, compat, length))
 
     whole = df.withColumn("_chunks", packing(T.nonblank(T.sentences(F.col(text_col)))))
 
@@ -97,18 +100,68 @@ def packed_sentences(df: DataFrame, text_col: str = "text", size: int = 250, ove
     return whole.select("*", F.posexplode(F.flatten(F.transform("_chunks", cut))).alias("chunk_no", "chunk")).drop("_chunks")
 
 
-def overlapping(parts: list[str], size: int = 256, overlap: int = 50) -> list[str]:
-    """As `pack` over word-segmented sentences; progress is certain, since every chunk takes a new sentence."""
-    return pack(parts, size, overlap)
+def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int = 50) -> DataFrame:
+    """A row for each chunk (chunk_no, chunk) of word-segmented sentences; progress is certain, since every chunk takes a new sentence."""
 
+    @F.pandas_udf("array<string>")
+    def packing(column: pd.Series) -> pd.Series:
+        return column.map(lambda s: [] if s is None else pack(list(s), size, overlap))
+
+    return df.select("*", F.posexplode(packing(F.col(sentences_col))).alias("chunk_no", "chunk"))
+
+
+def character_parts(text: str, size: int = 250, overlap: int = 25, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Parts of up to `size` characters, cut at the coarsest mark that makes pieces small enough; each begins with up to `overlap` characters of the one before."""
+    mark = next((m for m in marks if m in text), "")
+    finer = marks[marks.index(mark) + 1 :] or ("",)
+    out: list[str] = []
+    held: list[str] = []
+    room = lambda: sum(map(len, held)) + len(mark) * len(held)
 
-def semantic_parts(df: DataFrame, embed: Callable[[Column], Column], doc: str = "doc_id", text_col: str = "text", percentile: float = 0.95, limit: int = 250) -> DataFrame:
-    """(doc, part, text): sentences joined until the next one's embedding is farther than the document's percentile of such distances."""
+    def close() -> None:
+        if part := mark.join(held).strip():
+            out.append(part)
+
+    for piece in text.split(mark) if mark else text:
+        if len(piece) > size:
+            close()
+            held.clear()
+            out += character_parts(piece, size, overlap, finer)
+            continue
+        if held and room() + len(piece) > size:
+            close()
+            while held and (room() > overlap or room() + len(piece) > size):
+                held.pop(0)
+        if piece:
+            held.append(piece)
+    close()
+    return out
+
+
+def semantic_parts(df: DataFrame, embed: Callable[[Column], Column], doc: str = "doc_id", text_col: str = "text", percentile: float = 0.95, limit: int = 250, buffer: int = 1) -> DataFrame:
+    """(doc, part, text): sentences joined until the next one's embedding is farther than the document's percentile of such distances.
+
+    A sentence is embedded together with `buffer` neighbours on either side. As in the pipeline this replaces, sentences
+    are cut to `limit` tokens, the leading special one counted; None leaves them whole. A document with a sentence that
+    has no embedding falls back to `character_parts`.
+    """
     rows = df.select(doc, F.posexplode(T.nonblank(T.sentences(F.col(text_col)))).alias("pos", "s"))
-    rows = rows.withColumn("s", T.truncated(F.col("s"), limit)).withColumn("v", embed(F.col("s")))
+    rows = rows if limit is None else rows.withColumn("s", T.truncated(F.col("s"), limit))
     at = Window.partitionBy(doc).orderBy("pos")
+    near = at.rowsBetween(-buffer, buffer)
+    rows = rows.withColumn("v", embed(F.array_join(F.collect_list("s").over(near), " ")))
     rows = rows.withColumn("d", 1 - V.cosine(F.col("v"), F.lag("v").over(at)))
-    edge = F.expr(f"percentile(d, {percentile})").over(Window.partitionBy(doc))
+    whole = Window.partitionBy(doc)
+    edge = F.expr(f"percentile(d, {percentile})").over(whole)
+    rows = rows.withColumn("failed", F.max(F.col("v").isNull()).over(whole))
     rows = rows.withColumn("part", F.sum(F.coalesce((F.col("d") > edge).cast("int"), F.lit(0))).over(at))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
-    return rows.groupBy(doc, "part").agg(joined.alias("text"))
+    parts = rows.groupBy(doc, F.when(F.col("failed"), F.lit(0)).otherwise(F.col("part")).alias("part")).agg(joined.alias("text"), F.max("failed").alias("failed"))
+
+    @F.pandas_udf("array<string>")
+    def fallback(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else character_parts(t))
+
+    cut = parts.withColumn("cut", fallback(F.when(F.col("failed"), F.col("text"))))
+    cut = cut.select(doc, F.col("part").alias("first"), F.posexplode(F.coalesce("cut", F.array("text"))).alias("i", "text"))
+    return cut.select(doc, (F.col("first") + F.col("i")).cast("long").alias("part"), "text")

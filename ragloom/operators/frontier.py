@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators.lasting import lasting
+
 #: Deepest level whose pages are still expanded.
 MAX_DEPTH = 5
 
@@ -12,7 +14,7 @@ MAX_DEPTH = 5
 def frontier(urls: DataFrame, flag: str = "crawled", depth: str = "depth") -> DataFrame:
     """Rows not crawled yet at the least depth of such rows; none if all are crawled."""
     open_ = urls.where(F.col(flag) == 0)
-    return open_.join(F.broadcast(open_.agg(F.min(depth).alias("_least"))), F.col(depth) == F.col("_least")).drop("_least")  # one row
+    return open_.where(F.col(depth) == open_.agg(F.min(depth)).scalar())
 
 
 def pending(rows: DataFrame, flag: str) -> DataFrame:
@@ -58,18 +60,14 @@ def spread(seeds: DataFrame, edges: DataFrame, keep=None, max_depth: int = MAX_D
 
     `edges` are (parent, child). Pages at `max_depth` are not expanded. `keep` is a Boolean column on (url) for links
     to follow. Each level joins the edges once and leaves out what is known; levels are written to the checkpoint
-    folder where the session names one, so that plans stay short.
+    folder, so that plans stay short and no level is computed again.
     """
-    spark = seeds.sparkSession
-    lasting = spark.sparkContext.getConf().get("spark.checkpoint.dir") is not None
     known = seeds.select("url").distinct().select("url", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     level = known
     for depth in range(1, max_depth + 1):
         step = level.select(F.col("url").alias("_from")).join(edges, F.col("_from") == F.col("parent")).groupBy(F.col("child").alias("url")).agg(F.min("parent").alias("parent"))
         if keep is not None:
             step = step.where(keep)
-        level = step.join(known.select("url"), "url", "left_anti").select("url", "parent", F.lit(depth).alias("depth"))
-        if lasting:
-            level = level.checkpoint()
+        level = lasting(step.join(known.select("url"), "url", "left_anti").select("url", "parent", F.lit(depth).alias("depth")))
         known = known.union(level)
     return known

@@ -141,26 +141,31 @@ def node_text(node: Node) -> str:
     return "\n".join(parts)
 
 
-def _root(page: Node, tag: str) -> Node | None:
-    found = page.find(tag)
-    return found[0] if found else None
+def _matches(node: Node, selector: str) -> bool:
+    """Whether a `tag.class.class` selector fits; either part may be left out."""
+    tag, *classes = selector.split(".")
+    return (not tag or node.tag == tag) and set(classes) <= set(node.attrs.get("class", "").split())
 
 
-def _title(page: Node, root: Node | None) -> str:
-    for scope, tags in ((page, ("title",)), (root, ("h1",)), (root, HEADINGS)):
-        for n in scope.find(*tags) if scope else ():
-            if text := n.text():
-                return text
+def _root(page: Node, selector: str) -> Node | None:
+    return next((n for n in page.walk() if _matches(n, selector)), None)
+
+
+def _title(page: Node, selector: str = "h2.single-content-title") -> str:
+    """The first of: the element of the content's own title, the first h1, the title of the page; empty without any."""
+    for one in (selector, "h1", "title"):
+        if (n := _root(page, one)) is not None:
+            return n.text()
     return ""
 
 
 def page_nodes(html: str, root: str = "article") -> list[tuple[int, int, str, str]]:
-    """(pos, is_heading, text, title) of the block-level parts of the page's root; none without one."""
+    """(pos, is_heading, text, title) of the block-level parts of the page's root (`tag.class`); none without one."""
     page = parsed(html)
     main = _root(page, root)
     if main is None:
         return []
-    title = _title(page, main)
+    title = _title(page)
     out: list[tuple[int, int, str, str]] = []
 
     def visit(node: Node) -> None:
@@ -182,14 +187,24 @@ def page_nodes(html: str, root: str = "article") -> list[tuple[int, int, str, st
     return out
 
 
+def _flat(node: Node) -> list[str]:
+    """The stripped strings of a node, each table as one string in its place."""
+    out: list[str] = []
+    for c in node.children:
+        if isinstance(c, str):
+            out.append(" ".join(c.split()))
+        elif c.tag == "table":
+            out.append(table_text(c))
+        elif c.tag not in _SILENT:
+            out += _flat(c)
+    return [x for x in out if x]
+
+
 def main_content(html: str, root: str = "article") -> tuple[str, str]:
-    """(title, flat text of the root with each table as its text); both empty without the root."""
+    """(title, flat text of the root with each table's text in its place); both empty without the root."""
     page = parsed(html)
     main = _root(page, root)
-    if main is None:
-        return "", ""
-    tables = [t for x in main.find("table") if (t := table_text(x))]
-    return _title(page, main), "\n".join([*tables, *filter(None, [main.without("table").text()])])
+    return ("", "") if main is None else (_title(page), " ".join(_flat(main)))
 
 
 def _batched(df: DataFrame, html_col: str, make: Callable[[str], object], kind: str) -> DataFrame:

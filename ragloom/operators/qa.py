@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import scoring as S
@@ -19,22 +19,27 @@ def first_line(messages: list[dict[str, str]]) -> str:
     return messages[-1]["content"].split("\n", 1)[0]
 
 
-def asked(df: DataFrame, messages: Column, into: str = "answer", chat: Chat = first_line) -> DataFrame:
-    """`into`: the model's reply to each row's messages (array of role and content), in batches; a failure is its message."""
+def asked(df: DataFrame, messages: Column, into: str = "answer", chat: Chat = first_line, error: str | None = None) -> DataFrame:
+    """`into`: the model's reply to each row's messages (array of role and content), in batches.
+
+    A failure is its message, or where `error` names a column, a null reply with the message there.
+    """
     names = df.columns
     full = df.withColumn("_messages", messages)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            replies = []
+            replies, errors = [], []
             for said in part["_messages"]:
                 try:
                     replies.append(chat([{"role": m["role"], "content": m["content"]} for m in said]))
                 except Exception as e:  # noqa: BLE001 - a model's failure is that row's answer
-                    replies.append(f"error: {e}")
-            yield part[names].assign(**{into: replies})
+                    replies.append(f"error: {e}" if error is None else None)
+                    errors += [None] * (len(replies) - 1 - len(errors)) + [str(e)]
+            errors += [None] * (len(replies) - len(errors))
+            yield part[names].assign(**{into: replies} | ({error: errors} if error else {}))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{into}` string", *([f"`{error}` string"] if error else [])])
     return full.mapInPandas(run, schema)
 
 
@@ -56,6 +61,38 @@ def judge_messages(context: Column, question: Column, answer: Column) -> Column:
     return F.array(_message("system", F.lit("Mark the answer from 0 to 10.")), _message("user", F.concat_ws("\n", answer, context, question)))
 
 
+def link_answer_messages(link: Column, question: Column, instruction: str = "Answer the question from the page at the link.") -> Column:
+    return F.array(_message("system", F.lit(instruction)), _message("user", F.concat_ws("\n", link, question)))
+
+
+def link_question_messages(link: Column, instruction: str = "Write one question that the page at the link answers.") -> Column:
+    return F.array(_message("user", F.concat_ws("\n", F.lit(instruction), link)))
+
+
+def topic_messages(subject: Column, count: int = 5) -> Column:
+    """Asks for so many topics of a subject, one a line."""
+    return F.array(_message("system", F.lit(f"Name {count} topics, one a line.")), _message("user", subject))
+
+
+def connectivity_messages() -> Column:
+    """The least that a working endpoint replies to."""
+    return F.array(_message("user", F.lit("Hello")))
+
+
+def site_query(question: Column, site: str) -> Column:
+    """A web search for the question within one site."""
+    return F.concat(F.lit(f"site:{site} "), question)
+
+
+def chat_turns(turns: DataFrame, chat_id: str, order: str, said: str, reset: str = "reset") -> DataFrame:
+    """Each turn with `messages`: those of the same chat since the last reset, itself included; resets themselves are left out."""
+    at = Window.partitionBy(chat_id).orderBy(order)
+    cut = turns.withColumn("_part", F.sum((F.col(said) == reset).cast("int")).over(at))
+    since = Window.partitionBy(chat_id, "_part").orderBy(order)
+    out = cut.where(F.col(said) != reset).withColumn("messages", F.collect_list(_message("user", F.col(said))).over(since))
+    return out.drop("_part")
+
+
 def mark(reply: Column) -> Column:
     """The first number of a judge's reply, at most 10; null without one."""
     number = F.nullif(F.regexp_extract(reply, r"([0-9]+(?:[.][0-9]+)?)", 1), F.lit(""))

@@ -20,7 +20,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: Callable[[
     `queries` is (query, qvec), `vectors` (id, vec, *by). Scores are rounded to 6 places before ranking. The stated
     queries are held against all vectors; ranks are limited before the shuffle.
     """
-    pairs = queries.crossJoin(vectors)
+    few = queries.count() <= FEW  # beyond that Spark pairs partitions; top_k_blocks is for many queries
+    pairs = vectors.join(F.broadcast(queries), how="cross") if few else queries.crossJoin(vectors)
     if skip_self:
         pairs = pairs.where(F.col("query") != F.col("id"))
     scored = pairs.select("query", *by, "id", F.round(metric(F.col("qvec"), F.col("vec")), 6).alias("score"))
@@ -28,6 +29,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: Callable[[
     return scored.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
 
+#: Queries that `top_k` broadcasts at most.
+FEW = 1024
 #: Vectors that a block of `top_k_blocks` holds, about; and the distance in score that rounding to 6 places can bridge.
 BLOCK, NEAR = 2048, 2e-6
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators.lasting import lasting
+
 # fixed value: the watermark of an empty target
 EPOCH = "2000-03-25 18:07:12.922654"
 
@@ -16,7 +18,7 @@ def watermark(target: DataFrame, ts: str, default: str = EPOCH) -> DataFrame:
 
 def after_watermark(source: DataFrame, mark: DataFrame, ts: str) -> DataFrame:
     """Source rows later than the watermark; rows equal to it were taken before."""
-    return source.join(F.broadcast(mark), F.col(ts) > F.col("watermark")).drop("watermark")  # one row
+    return source.where(F.col(ts) > mark.select("watermark").scalar())  # a scalar subquery, so that the scan gets the filter
 
 
 def looked_up(rows: DataFrame, other: DataFrame, key: str, other_key: str, value: str, into: str) -> DataFrame:
@@ -67,12 +69,15 @@ def batch_progress(rows: DataFrame, order: str, size: int = 500) -> DataFrame:
     return counts.select("batch", F.sum("n").over(upto).alias("done"), F.sum("n").over(Window.partitionBy()).alias("total"))
 
 
-def numbered(rows: DataFrame, order: str, ranges: int = 64) -> DataFrame:
-    """`rn`: the row's place by `order`, from 1, without bringing all rows into one task.
+def numbered(rows: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """`rn`: the row's place by `order`, from 1, without bringing all rows into one task; equal values in any order.
 
-    Rows are sorted over range partitions; the partitions' counts, one row each, give the offsets.
+    Rows are sorted over range partitions, as many as the session shuffles to unless given; the partitions' counts, one
+    row each, give the offsets.
     """
-    parted = rows.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    parted = rows.repartitionByRange(order) if ranges is None else rows.repartitionByRange(ranges, order)
+    # both uses see one partitioning, also where a lost executor's part is made again
+    parted = lasting(parted.sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
     within = Window.partitionBy("_p").orderBy(order)
     placed = parted.withColumn("_i", F.row_number().over(within))
     counts = parted.groupBy("_p").count()

@@ -1,5 +1,5 @@
 """Named queries."""
 
-from ragloom.plans import bookkeeping, search, texts
+from ragloom.plans import bookkeeping, search, serving, texts
 
-__all__ = ["bookkeeping", "search", "texts"]
+__all__ = ["bookkeeping", "search", "serving", "texts"]

@@ -68,9 +68,10 @@ def safe_filename(spark, d):
 
 
 @query("""
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '' WHEN 2 THEN '.png' ELSE '' END AS ext FROM pages""")
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 3 THEN '.gif' WHEN 4 THEN '.zip' WHEN 5 THEN '.doc' WHEN 6 THEN '.docx' ELSE '' END AS ext FROM pages""")
 def mime_ext(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("application/pdf", "application/pdf; charset=utf-8", "image/png", "text/csv"))), (F.col("page_id") % 4 + 1).cast("int"))
+    known = ("application/pdf", "image/jpeg", "image/png", "image/gif", "application/zip", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/pdf; charset=utf-8", "text/csv")
+    kind = F.element_at(F.array(*map(F.lit, known)), (F.col("page_id") % 9 + 1).cast("int"))
     return table(spark, d, "pages").select("page_id", T.extension(kind).alias("ext"))
 
 
@@ -119,9 +120,13 @@ def truncate_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_length(text).cast("long").alias("n"), T.truncated(text).alias("head"), T.preview(text).alias("preview"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({_TOK}, lambda w: NOT list_contains(['the', 'of', 'de'], lower(w))), ' ') AS kept FROM documents")
+_STOP = "['là', 'có', 'và', 'của', 'cho', 'trên', 'trong', 'với', 'một', 'các', 'những', 'rằng', 'vì', 'nên', 'như', 'đã', 'sẽ', 'được', 'từ', 'để', 'khi', 'the', 'of', 'de']"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({_TOK}, lambda w: NOT list_contains({_STOP}, lower(w))), ' ') AS kept FROM documents")
 def stopwords_removed(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.without_stopwords(F.col("text"), ("the", "of", "de")).alias("kept"))
+    """The default words, and some of the table's languages."""
+    return table(spark, d, "documents").select("doc_id", T.without_stopwords(F.col("text"), (*T.STOPWORDS, "the", "of", "de")).alias("kept"))
 
 
 @query("SELECT item_id, CAST(count(doc_id) AS BIGINT) AS n FROM benchmark LEFT JOIN documents ON contains(documents.text, benchmark.text) GROUP BY item_id")
@@ -156,4 +161,4 @@ def sentence_pack(spark, d):
 
 @query(None)
 def semantic_parts(spark, d):
-    return K.semantic_parts(table(spark, d, "documents").select("doc_id", "text"), Q.hashed_embedding)
+    return K.semantic_parts(table(spark, d, "documents").select("doc_id", "text"), Q.hashed_embedding, limit=None)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-#: Documents of more pages give nothing.
-MAX_PAGES = 10
+#: Documents of more pages are refused, unless another limit or none is given; tokens and overlap of a page's windows.
+MAX_PAGES, WINDOW, OVERLAP = 10, 250, 25
 
 
 def _row_text(headers: list[str], row: list[str | None]) -> str:
@@ -114,19 +114,33 @@ def xlsx_rows(raw: bytes) -> tuple[str, list[str]]:
     return title, rows
 
 
-def pdf_lines(pages: list[tuple[str, list[list[list[str]]]]]) -> list[str]:
-    """Lines of a parsed PDF, whose pages are (text, tables): a page's first table if it is valid, else its text; nothing beyond MAX_PAGES pages."""
-    if len(pages) > MAX_PAGES:
-        return []
+def _windows(text: str, size: int, overlap: int) -> list[str]:
+    words = text.split()
+    return [" ".join(words[i : i + size]) for i in range(0, max(len(words) - overlap, 1), size - overlap)] if words else []
+
+
+def pdf_lines(pages: list[tuple[str, list[list[list[str | None]]]]], max_pages: int | None = MAX_PAGES, size: int = WINDOW, overlap: int = OVERLAP) -> list[str]:
+    """Lines of a parsed PDF, whose pages are (text, tables): the rows of a page's first table if it is valid, else its text in token windows.
+
+    A document of more than `max_pages` pages is refused by an error, which `read_lines` shows in its row; None sets no limit.
+    """
+    if max_pages is not None and len(pages) > max_pages:
+        raise ValueError(f"{len(pages)} pages, more than {max_pages}")
     lines = []
     for text, tables in pages:
         if tables and _valid(tables[0]):
-            lines += [t for r in tables[0][1:] if (t := _row_text([h.lower() for h in tables[0][0]], r))]
-        elif text.strip():
-            lines.append(text.strip())
+            headers = [(h or "").lower().replace("\n", " ") for h in tables[0][0]]
+            lines += [t for r in tables[0][1:] if (t := _row_text(headers, r))]
+        else:
+            lines += _windows(text or "", size, overlap)
     return lines
 
 
+def pdf_parser(parse: Callable[[bytes], list[tuple[str, list]]], **options) -> Callable[[bytes], list[str]]:
+    """A parser for `read_lines` from any PDF library: `parse` gives the pages of a file as (text, tables)."""
+    return lambda raw: pdf_lines(parse(raw), **options)
+
+
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {".docx": docx_lines, ".xlsx": lambda raw: xlsx_rows(raw)[1]}
 
 

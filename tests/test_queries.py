@@ -21,5 +21,6 @@ def test_runs(spark, name):
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 50
+    asked = sum(r[0] % 100 == 0 for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
+    assert entry.entry(spark).count() == 5 * asked > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
