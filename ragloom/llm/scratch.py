@@ -6,6 +6,7 @@ never a recomputation of earlier stages.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when its measured bytes are at most this.
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes of an Arrow batch to a Python worker, at most: JVM and worker hold several at a time.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
@@ -31,15 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet to the shared folder and read again."""
+    """The frame, written as Parquet to the shared folder and read again. The session's Arrow batches are kept to BATCH_BYTES."""
     spark = df.sparkSession
+    if int(spark.conf.get(_BATCH).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*frames: DataFrame) -> None:
-    """Deletes what `stored` wrote for these frames, once nothing reads them any more."""
+    """Deletes what `stored` wrote for these frames, once nothing reads them any more.
+
+    Spark deletes the shuffle files of finished jobs when the driver collects its garbage, which otherwise may be long after.
+    """
+    gc.collect()
+    for df in frames[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
     for df in frames:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm

@@ -392,7 +392,7 @@ def _verified(spans: DataFrame, texts: DataFrame, window: int) -> bool:
     wanted = spans.select("u", "p", "n").union(spans.select("ru", "rp", "n")).distinct()
     wanted = stored(wanted.groupBy("u").agg(F.collect_list(F.struct("p", "n")).alias("wanted")), "passages-wanted")
     # only texts that are wanted take part in the join, which shuffles them where what is wanted is large
-    rows = texts.join(sized(wanted.select("u")), "u", "left_semi").join(sized(wanted, F.size("wanted") * 8), "u").select("u", "text", "wanted")
+    rows = texts.join(sized(wanted.select("u")), "u", "left_semi").join(sized(wanted, F.size("wanted") * 32), "u").select("u", "text", "wanted")
     found = stored(rows.mapInArrow(_digests(window), "u long, p int, n int, d binary").dropDuplicates(["u", "p", "n"]), "passages-digests")
     one, two = found.withColumnRenamed("d", "d1"), found.select(F.col("u").alias("ru"), F.col("p").alias("rp"), "n", F.col("d").alias("d2"))
     away = spans.join(one, ["u", "p", "n"]).join(two, ["ru", "rp", "n"]).where("d1 != d2")
@@ -511,7 +511,7 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", window: int = 35,
 
     names = [f"c{i}" for i in range(len(carry))]  # apart from any name of the input
     full = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), text.alias("text"))
-    full = full.withColumn("u", F.when(F.col("text").isNotNull(), source)).join(sized(known, F.size("found") * 8), "u", "left")
+    full = full.withColumn("u", F.when(F.col("text").isNotNull(), source)).join(sized(known, F.size("found") * 32), "u", "left")
     schema = ", ".join([*(f"{n} {full.schema[n].dataType.simpleString()}" for n in names), _CUT])
     out = full.select(*names, "text", "found", "copies").mapInArrow(_cut(window, names, "text"), schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "n_words", "n_removed", "kept", "spans")

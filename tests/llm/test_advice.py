@@ -56,7 +56,7 @@ def test_whole_licenses_wrapped_and_titled(spark):
     assert {r["doc_id"]: r["license"] for r in found.collect()} == dict(enumerate(cases.values()))
     con = duckdb.connect()
     con.register("documents", frame.toPandas())
-    assert rows(found.toPandas()) == rows(con.sql(licenses.LINES_SQL).df())
+    assert rows(found.toPandas()) == rows(con.sql(licenses.SQL).df())
 
 
 def links(texts):
