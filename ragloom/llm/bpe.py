@@ -23,7 +23,7 @@ from ragloom.llm.textwords import U, blocks, word_hashes
 
 _NONE = np.int32(0x7FFFFFFF)
 #: Widest matrix in bytes, cells of a matrix, and distinct pieces kept between blocks.
-WIDEST, CELLS, KEPT = 256, 1 << 18, 250_000
+WIDEST, CELLS, KEPT = 256, 1 << 18, 100_000
 
 
 class Ranks:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 #: Bytes of an Arrow batch to a Python worker, at most: JVM and worker hold several at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 U = np.uint64
 
 
-def bucket_count(hashes: int, each: int = 2_000_000) -> int:
+def bucket_count(hashes: int, each: int = 500_000) -> int:
     """Buckets such that each holds about `each` hashes, however many hashes there are: no bucket outgrows a task."""
     return int(min(2**31 - 1, max(12, -(-hashes // each))))
 
@@ -20,7 +20,7 @@ def bucket_count(hashes: int, each: int = 2_000_000) -> int:
 class Packer:
     """Collects (bucket, owner, payload arrays) and gives packed record batches."""
 
-    def __init__(self, buckets: int, kinds: list[np.dtype], flush: int = 1 << 19):
+    def __init__(self, buckets: int, kinds: list[np.dtype], flush: int = 1 << 18):
         self.buckets, self.kinds, self.limit = buckets, kinds, flush
         self.parts: list[tuple] = []
         self.held = 0

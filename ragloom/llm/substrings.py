@@ -39,7 +39,7 @@ from ragloom.llm.textwords import U, blocks, bounds, gram_hashes, long_gram_hash
 #: Words of an anchor k-mer, at most; shorter windows use half their length.
 ANCHOR = 16
 #: Items that a task collects before it packs them.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Bases of the nodes' hashes; a further one is used when words at coordinates of one edge are found to differ.
 BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -462,12 +462,12 @@ def _sources(texts: DataFrame, text: Column) -> tuple[Column, DataFrame]:
 def _known(texts: DataFrame, length: int, window: int) -> DataFrame:
     """(u, found): the windows of each source that also start elsewhere, as runs of positions."""
     # about a sixth of the bytes are words, a tenth of these anchors; of the windows, far from all are dealt
-    parts = spread.bucket_count(length // 50, 1_000_000)
+    parts = spread.bucket_count(length // 50)
     dealt = texts.select("u", "text").mapInArrow(_deal_anchors(window, parts), _DEALT)
     reduced = dealt.groupBy("bucket").applyInArrow(_repeated_anchors(parts), spread.SCHEMA)
     anchored = stored(reduced.groupBy("bucket").applyInArrow(_flagged, "u long, found binary"), "passages-anchors")
     windows = texts.join(sized(anchored, "found"), "u").select("u", "text", "found")
-    parts = spread.bucket_count(length // 20, 500_000)
+    parts = spread.bucket_count(length // 20)
     for base in BASES:
         dealt = windows.mapInArrow(_deal_windows(window, parts, base), _DEALT)
         both = stored(dealt.groupBy("bucket").applyInArrow(_repeated_edges(parts), "bucket int, blob binary, l long, r long, u long, p int"), "passages-edges")
