@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-#: Documents of more pages are refused, unless another limit or none is given; tokens and overlap of a page's windows.
+#: Documents of more pages give nothing, unless another limit or none is given; tokens and overlap of a page's windows.
 MAX_PAGES, WINDOW, OVERLAP = 10, 250, 25
 
 
@@ -122,10 +122,10 @@ def _windows(text: str, size: int, overlap: int) -> list[str]:
 def pdf_lines(pages: list[tuple[str, list[list[list[str | None]]]]], max_pages: int | None = MAX_PAGES, size: int = WINDOW, overlap: int = OVERLAP) -> list[str]:
     """Lines of a parsed PDF, whose pages are (text, tables): the rows of a page's first table if it is valid, else its text in token windows.
 
-    A document of more than `max_pages` pages is refused by an error, which `read_lines` shows in its row; None sets no limit.
+    A document of more than `max_pages` pages gives nothing; None sets no limit.
     """
     if max_pages is not None and len(pages) > max_pages:
-        raise ValueError(f"{len(pages)} pages, more than {max_pages}")
+        return []
     lines = []
     for text, tables in pages:
         if tables and _valid(tables[0]):
@@ -137,8 +137,15 @@ def pdf_lines(pages: list[tuple[str, list[list[list[str | None]]]]], max_pages:
 
 
 def pdf_parser(parse: Callable[[bytes], list[tuple[str, list]]], **options) -> Callable[[bytes], list[str]]:
-    """A parser for `read_lines` from any PDF library: `parse` gives the pages of a file as (text, tables)."""
-    return lambda raw: pdf_lines(parse(raw), **options)
+    """A parser for `read_lines` from any PDF library: `parse` gives the pages of a file as (text, tables). A document of too many pages has its row's error."""
+
+    def run(raw: bytes) -> list[str]:
+        pages, most = parse(raw), options.get("max_pages", MAX_PAGES)
+        if most is not None and len(pages) > most:
+            raise ValueError(f"{len(pages)} pages, more than {most}")
+        return pdf_lines(pages, **options)
+
+    return run
 
 
 PARSERS: dict[str, Callable[[bytes], list[str]]] = {".docx": docx_lines, ".xlsx": lambda raw: xlsx_rows(raw)[1]}

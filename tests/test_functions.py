@@ -52,7 +52,8 @@ words = lambda n, c="w": " ".join([c] * n)
 
 def test_pack():
     parts = [words(2, "a"), words(6, "b"), words(4, "c"), words(4, "d")]
-    assert [len(c.split()) for c in chunking.pack(parts, 10, 3, compat=True)] == [8, 14]
+    assert [len(c.split()) for c in chunking.pack(parts, 10, 3, compat=True, length=lambda s: len(s.split()))] == [8, 14]
+    assert [len(c.split()) for c in chunking.pack(parts, 10, 3, compat=True)] == [2, 8, 10, 8]  # with the two special tokens of each length
     assert all(len(c.split()) <= 10 for c in chunking.pack(parts, 10, 3))
     assert chunking.pack([words(12)], 10, 3, compat=True)[0] == ""
     assert chunking.pack([words(12)], 10, 3) == [words(12)]
