@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import ann, bpe, crf, jaccard, language, licenses, mix, prefixes, quality, substrings
+from ragloom.llm import ann, bpe, crf, importance, jaccard, language, lexical, licenses, mix, prefixes, quality, substrings
 
 #: Token budget of op6 and share of a toxic verdict of op10.
 TOKEN_LIMIT, TOXIC_FROM = 4096, 0.7
@@ -103,6 +103,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -114,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,4 +133,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": mix.SQL,
     "op5_substring_dedup": substrings.SQL,
     "op7_quality_rules": quality.SQL,
+    "op12_lexical_search": lexical.SQL,
+    "op13_importance": importance.SQL,
 }
