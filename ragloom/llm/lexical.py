@@ -52,7 +52,8 @@ def counted(raw: bytes) -> Counter:
 class _Open:
     """The window that is being filled."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.ids: list = []
         self.sizes: list[int] = []
         self.terms: list[int] = []
@@ -60,7 +61,7 @@ class _Open:
         self.times: list[int] = []
 
     def full(self) -> bool:
-        return len(self.ids) >= WINDOW or len(self.terms) >= POSTINGS
+        return len(self.ids) >= self.most or len(self.terms) >= POSTINGS
 
     def row(self) -> pa.RecordBatch:
         terms, docs, times = np.int32(self.terms), np.uint16(self.docs), np.uint32(self.times)
@@ -71,13 +72,13 @@ class _Open:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["ids", "sizes", "terms", "found", "docs", "times"])
 
 
-def index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """A row a window: `ids`, `sizes` (terms of each document, 8 bytes), and of the vocabulary's terms that occur in it
     the numbers `terms`, their document counts `found`, and their postings, one term after the other: place of the
     document in the window `docs` (2 bytes) and occurrences `times` (4 bytes). Documents without terms are left out."""
 
     def run(batches):
-        known, window = vocabulary.keys(), _Open()
+        known, window = vocabulary.keys(), _Open(size)
         for batch in batches:
             ids = batch.column("id").to_pylist()
             data, offsets = buffers(batch.column("text"))
@@ -93,7 +94,7 @@ def index(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
                 window.docs.extend([at] * len(hits))
                 if window.full():
                     yield window.row()
-                    window = _Open()
+                    window = _Open(size)
             trim()
         if window.ids:
             yield window.row()
@@ -145,11 +146,11 @@ class Item:
                 heapq.heapreplace(self.heap, entry)
 
 
-def _scoring(items: list[Counter], weights: np.ndarray, n: int, total: int, best: int):
+def _scoring(items: list[Counter], weights: np.ndarray, n: int, total: int, best: int, size: int):
     def run(batches):
         asked = [Item(terms, best) for terms in items]
         place = np.full(len(weights), -1, np.int64)
-        scores, touched = np.zeros(WINDOW, np.int64), np.zeros(WINDOW // STRETCH, bool)
+        scores, touched = np.zeros(size, np.int64), np.zeros(-(-size // STRETCH), bool)
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = batch.column("ids")[k].as_py()
@@ -181,7 +182,7 @@ def _scoring(items: list[Counter], weights: np.ndarray, n: int, total: int, best
     return run
 
 
-def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The `best` documents of each row of `items`: item_col, rank (from 1), id_col, score.
 
     Only documents with a score above 0 are hits, equal scores go by the smaller id, null ids last. Null texts and texts
@@ -191,14 +192,14 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "d
     spark = docs.sparkSession
     asked = items.select(F.col(item_col).alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     size = asked.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks, out = -(-size // ITEM_BYTES), []
+    blocks, out = -(-size // item_bytes), []
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
         vocabulary: dict[bytes, int] = {}
         terms = [Counter({vocabulary.setdefault(w, len(vocabulary)): n for w, n in counted(r["text"].encode()).items()}) for r in rows]
-        indexed = stored(index(docs, vocabulary, id_col, text_col), "lexical-index")
+        indexed = stored(index(docs, vocabulary, id_col, text_col, window), "lexical-index")
         n, total, found = statistics(indexed, len(vocabulary))
-        kept = stored(indexed.mapInArrow(_scoring(terms, term_weights(n, found), n, total, best), "item int, id bigint, score bigint"), "lexical-hits")
+        kept = stored(indexed.mapInArrow(_scoring(terms, term_weights(n, found), n, total, best, window), "item int, id bigint, score bigint"), "lexical-hits")
         drop(indexed)
         order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
         ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)

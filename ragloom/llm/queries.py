@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import ann, bpe, crf, importance, jaccard, language, lexical, licenses, mix, prefixes, quality, substrings
+from ragloom.llm import ann, bpe, crf, importance, jaccard, language, lexical, licenses, mix, prefixes, private, quality, substrings
 
 #: Token budget of op6 and share of a toxic verdict of op10.
 TOKEN_LIMIT, TOXIC_FROM = 4096, 0.7
@@ -103,6 +103,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private.found(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private.KINDS]
+    base, spans = (F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",") for c in ("base", "spans"))
+    return out.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_nearest": op9_nearest,
     "op10_toxicity": op10_toxicity,
+    "op11_private_spans": op11_private_spans,
     "op12_lexical_search": op12_lexical_search,
     "op13_importance": op13_importance,
 }
