@@ -40,14 +40,21 @@ def duck():
 
 
 def rows(frame):
-    """Rows of a pandas frame, columns by name, as comparable text."""
-    import pandas as pd
+    """Rows of a Spark, DuckDB or pandas frame, columns by name, as comparable text; the first two through Arrow, which keeps whole numbers whole beside nulls."""
+    import datetime
 
-    frame = frame[sorted(frame.columns)]
+    import pandas as pd
 
     def plain(x):
         if x is None or x is pd.NaT or isinstance(x, float) and x != x:
             return "null"
+        if isinstance(x, datetime.datetime) and x.tzinfo:
+            x = x.astimezone(datetime.timezone.utc).replace(tzinfo=None)
         return repr(x.item() if hasattr(x, "item") else x)
 
-    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None))
+    arrow = frame.toArrow() if hasattr(frame, "toArrow") else frame.to_arrow_table() if hasattr(frame, "to_arrow_table") else None
+    if arrow is None:
+        frame = frame[sorted(frame.columns)]
+        return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None))
+    columns = [map(plain, arrow.column(n).to_pylist()) for n in sorted(arrow.column_names)]
+    return sorted(zip(*columns, strict=True))
