@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,6 +13,10 @@ from ragloom.functions import text as T
 from ragloom.functions import vectors as V
 
 
+#: Where the second tier splits: after an end mark with white space behind it, or at line ends.
+_MARKS = re.compile(r"(?<=[.!?;–])\s+|\n+")
+
+
 def window_starts(n: Column, size: int = 250, overlap: int = 25) -> Column:
     """Offsets of the windows over n tokens: none for no tokens, one up to `size`, then one each `size - overlap`."""
     step = size - overlap
@@ -100,6 +105,28 @@ def packed_sentences(df: DataFrame, text_col: str = "text", size: int = 250, ove
     return whole.select("*", F.posexplode(F.flatten(F.transform("_chunks", cut))).alias("chunk_no", "chunk")).drop("_chunks")
 
 
+def three_tiers(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = False) -> list[str]:
+    """Sentences packed; what is still over `size` split at end marks and lines and packed again; what is then still over it cut into token windows."""
+    length = lambda s: len(s.split()) + 2 * compat
+    finer = (d for c in pack(parts, size, overlap, compat) for d in ([c] if length(c) <= size else pack([s.strip() for s in _MARKS.split(c) if s.strip()], size, overlap, compat)))
+    out = []
+    for chunk in finer:
+        words = chunk.split()
+        starts = range(0, max(len(words) - overlap, 1), size - overlap)
+        out += [chunk] if length(chunk) <= size else [" ".join(words[i : i + size]) for i in starts]
+    return out
+
+
+def packed_sentences_learnt(sentences: DataFrame, column: str = "sentences", size: int = 250, overlap: int = 25, compat: bool = False) -> DataFrame:
+    """A row for each chunk (chunk_no, chunk) of sentences that learnt borders gave, by three_tiers."""
+
+    @F.pandas_udf("array<string>")
+    def packing(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: [] if s is None else three_tiers(list(s), size, overlap, compat))
+
+    return sentences.select("*", F.posexplode(packing(F.col(column))).alias("chunk_no", "chunk")).drop(column)
+
+
 def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int = 50) -> DataFrame:
     """A row for each chunk (chunk_no, chunk) of word-segmented sentences; progress is certain, since every chunk takes a new sentence."""
 

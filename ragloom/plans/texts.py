@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
+from ragloom.operators import borders as B
 from ragloom.operators import chunking as K
 from ragloom.operators import html as H
 from ragloom.operators import qa as Q
@@ -162,3 +163,56 @@ def sentence_pack(spark, d):
 @query(None)
 def semantic_parts(spark, d):
     return K.semantic_parts(table(spark, d, "documents").select("doc_id", "text"), Q.hashed_embedding, limit=None)
+
+
+_TYPE = rf"""CASE WHEN regexp_matches(base, '^[-+]?[.,]?[0-9][0-9.,:%/-]*$') THEN '##' ELSE base END"""
+_TIED = lambda a, b, ab: "-2 * (" + " ".join(f"{sign} CASE WHEN ({q}) <= 0 OR ({q}) >= 1 THEN 0 ELSE ({k}) * ln({q}) + (({m}) - ({k})) * ln(1 - ({q})) END" for sign, k, m, q in (("+", ab, a, f"{b} / total"), ("+", f"{b} - {ab}", f"total - {a}", f"{b} / total"), ("-", ab, a, f"{ab} / {a}"), ("-", f"{b} - {ab}", f"total - {a}", f"({b} - {ab}) / (total - {a})"))) + ")"
+_BORDERS = rf"""
+l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS line, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(line, '{_S}+'), lambda w: w <> '') AS w FROM l),
+e AS (SELECT doc_id, i, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+b AS (SELECT *, regexp_replace(regexp_replace(word, '^["''(\[{{«“‘„]+', ''), '["'')\]}}»”’]+$', '') AS body FROM e),
+c AS (SELECT *, lower(regexp_replace(body, '[.!?…,;:–]+$', '')) AS base, CASE WHEN regexp_matches(body, '(\.\.|…)$') THEN 'e' WHEN ends_with(body, '.') THEN '.' WHEN regexp_matches(body, '[!?]$') THEN 'b' ELSE '' END AS stop,
+      CASE WHEN regexp_matches(body, '^\p{{Lu}}') THEN 'U' WHEN regexp_matches(body, '^\p{{Ll}}') THEN 'l' ELSE '' END AS kind FROM b),
+t AS (SELECT doc_id, i, j, {_TYPE} AS type, stop, kind FROM c),
+q AS (SELECT coalesce(lag(CASE WHEN stop = '.' THEN type ELSE '' END) OVER o, '') AS key1, coalesce(lag(stop) OVER o, '^') AS stop1, type, stop, kind FROM t WINDOW o AS (PARTITION BY doc_id, i ORDER BY j)),
+p AS (SELECT * FROM q WHERE type <> ''),
+n AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (stop = '.') / count(*)::DOUBLE AS share FROM p),
+y AS (SELECT type, count(*)::DOUBLE AS n_type, count(*) FILTER (stop = '.')::DOUBLE AS n_with FROM p GROUP BY type),
+z AS (SELECT *, len(type) - len(replace(type, '.', '')) AS inn, len(replace(type, '.', '')) AS letters FROM y, n WHERE n_with > 0 AND type <> '##' AND regexp_matches(type, '\p{{L}}')),
+abbr AS (SELECT * FROM (SELECT type, -2 * (n_with * ln(share + 1e-8) + (n_type - n_with) * ln(1 - share + 1e-8) - n_with * ln(0.99::DOUBLE) - (n_type - n_with) * ln(0.01::DOUBLE)) * exp(-letters) * (inn + 1) * exp(-(n_type - n_with) * ln(letters)) AS score FROM z) WHERE score >= 0.3),
+f AS (SELECT p.*, abbr.type IS NOT NULL AS short, stop1 = 'b' OR (stop1 = '.' AND abbr.type IS NULL) AS ends FROM p LEFT JOIN abbr ON key1 = abbr.type),
+s1 AS (SELECT type, count(*)::DOUBLE AS n_start FROM f WHERE ends AND regexp_matches(type, '^\p{{L}}') GROUP BY type),
+s2 AS (SELECT * FROM s1 JOIN y USING (type), n, (SELECT count(*)::DOUBLE AS ended FROM f WHERE ends)),
+starters AS (SELECT * FROM (SELECT type, {_TIED("ended", "n_type", "n_start")} AS score FROM s2 WHERE total / ended > n_type / n_start) WHERE score >= 30),
+k1 AS (SELECT key1 AS a, type AS b, count(*)::DOUBLE AS n_both FROM f WHERE stop1 = '.' AND (short OR key1 = '##' OR regexp_matches(key1, '^\p{{L}}$')) AND regexp_matches(type, '^\p{{L}}') AND type NOT IN (SELECT type FROM starters) GROUP BY ALL),
+k2 AS (SELECT a, b, n_both, ya.n_type AS n_a, yb.n_type AS n_b FROM k1 JOIN y ya ON ya.type = a JOIN y yb ON yb.type = b),
+coll AS (SELECT * FROM (SELECT a, b, {_TIED("n_a", "n_b", "n_both")} AS score FROM k2, n WHERE total / n_a > n_b / n_both) WHERE score >= 7.88)"""
+
+
+@query(f"""
+WITH {_BORDERS}
+SELECT 'abbreviation' AS kind, type AS a, NULL AS b, round(score, 4) AS score FROM abbr UNION ALL SELECT 'starter', type, NULL, round(score, 4) FROM starters
+UNION ALL SELECT 'collocation', a, b, round(score, 4) FROM coll""")
+def sentence_statistics(spark, d):
+    """What the documents teach of sentence borders."""
+    found = B.learnt(table(spark, d, "documents"))
+    score = F.round("score", 4).alias("score")
+    none = F.lit(None).cast("string").alias("b")
+    out = found.abbreviations.select(F.lit("abbreviation").alias("kind"), F.col("type").alias("a"), none, score)
+    return out.unionByName(found.starters.select(F.lit("starter").alias("kind"), F.col("type").alias("a"), none, score)).unionByName(found.collocations.select(F.lit("collocation").alias("kind"), "a", "b", score))
+
+
+@query(None)
+def learnt_sentences(spark, d):
+    """The documents' sentences by the borders that they teach; a plain model in the tests gives the same."""
+    docs = table(spark, d, "documents")
+    out = B.sentences(docs, B.learnt(docs))
+    return out.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "|").cast("binary")).alias("digest"))
+
+
+@query(None)
+def three_tier_chunks(spark, d):
+    """Chunks of learnt sentences, then of sentences by marks, then windows."""
+    docs = table(spark, d, "documents")
+    return K.packed_sentences_learnt(B.sentences(docs, B.learnt(docs)))
