@@ -48,9 +48,14 @@ class Index:
         rest = self.parts(x - self.centroids[at])
         return at, np.stack([_nearest(rest[:, m], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """The lists of each query, nearest first."""
-        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, : self.probes]
+    def probed(self, q: np.ndarray, sizes: np.ndarray, need: int) -> np.ndarray:
+        """Which lists each query goes to: the nearest ones, as many as are probed and further until they hold `need` rows."""
+        order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        take = (np.arange(len(sizes)) < self.probes) | (before < need)
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, take, 1)
+        return out
 
 
 def _nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -120,7 +125,7 @@ def _packing(size: int):
     return run
 
 
-def _probing(index: Index, shelves: list[list[int]]):
+def _probing(index: Index, shelves: list[list[int]], sizes: np.ndarray, need: int):
     """(q, v, shelf, lists): each query once for each shelf of its lists. shelves[list] are those that hold rows of the list."""
     held = np.zeros((max((max(x) for x in shelves if x), default=-1) + 1, len(shelves)), bool)
     for at, on in enumerate(shelves):
@@ -131,8 +136,7 @@ def _probing(index: Index, shelves: list[list[int]]):
             if not len(batch):
                 continue
             x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(len(batch), index.size)
-            wanted = np.zeros((len(batch), len(shelves)), bool)
-            np.put_along_axis(wanted, index.probed(x), True, 1)
+            wanted = index.probed(x, sizes, need)
             row, shelf = np.nonzero(wanted.astype(np.float32) @ held.T.astype(np.float32))
             lists = [np.flatnonzero(wanted[r] & held[s]).astype(np.int32) for r, s in zip(row, shelf, strict=True)]
             take = pa.array(row)
@@ -203,6 +207,15 @@ def _shelved(sizes: dict[int, int], lists: int) -> list[list[int]]:
     return shelves
 
 
+def _sample(rows: DataFrame, many: int, most: int = SAMPLE_ROWS) -> list[bytes]:
+    """About `most` distinct rows' vectors, those of least hash, never more. Rows above a bound on the hash stay in their tasks."""
+    room = 1 << 40
+    key = F.pmod(F.xxhash64("id", "v"), F.lit(room))
+    below = min(room, int(room * (most + 4 * most**0.5) / max(1, many)))
+    found = rows.where(key < below).select(key.alias("h"), "id", "v").distinct().collect()
+    return [bytes(r["v"]) for r in sorted(found, key=lambda r: (r["h"], r["id"]))][:most]
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors` by inner product, its own id apart.
 
@@ -219,16 +232,19 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     if length is None or not length["n"]:
         return spark.createDataFrame([], out_schema)
     rows = vectors.mapInArrow(_packing(length["n"]), "id long, v binary")
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE_ROWS).collect()
+    many = rows.count()
+    sample = _sample(rows, many)
     if not sample:
         return spark.createDataFrame([], out_schema)
-    index = fit(np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(len(sample), -1), rows.count(), k)
+    index = fit(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1), many, k)
 
     filed = stored(rows.mapInArrow(_assigning(index), "id long, v binary, list int, codes binary"), "ann-filed")
     lists = len(index.centroids)  # bounded, and so is what comes to the driver
-    shelves = _shelved({r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}, lists)
+    counts = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}
+    shelves, sizes = _shelved(counts, lists), np.array([counts.get(j, 0) for j in range(lists)], np.int64)
+    copies = filed.groupBy("id").count().agg(F.max("count")).first()[0]  # of its own id's rows a query takes none
     plan = F.broadcast(spark.createDataFrame(list(enumerate(shelves)), "list int, on array<int>"))
-    probes = queries.mapInArrow(_packing(index.size), "id long, v binary").mapInArrow(_probing(index, shelves), "q long, v binary, shelf int, lists array<int>")
+    probes = queries.mapInArrow(_packing(index.size), "id long, v binary").mapInArrow(_probing(index, shelves, sizes, k + copies), "q long, v binary, shelf int, lists array<int>")
     probes = stored(probes, "ann-probes")
     many = F.broadcast(spark.createDataFrame([(r["shelf"], -(-r["count"] // SHELF_QUERIES)) for r in probes.groupBy("shelf").count().collect()], "shelf int, nq int"))
     own = F.get("on", F.pmod(F.xxhash64("id"), F.size("on")).cast("int"))
