@@ -1,5 +1,5 @@
 """Named queries."""
 
-from ragloom.plans import bookkeeping, files, search, serving, texts
+from ragloom.plans import bookkeeping, files, search, serving, streams, texts
 
-__all__ = ["bookkeeping", "files", "search", "serving", "texts"]
+__all__ = ["bookkeeping", "files", "search", "serving", "streams", "texts"]
