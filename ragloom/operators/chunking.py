@@ -34,7 +34,7 @@ def token_windows(df: DataFrame, text_col: str = "text", size: int = 250, overla
     return out.withColumn("chunk", F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(size)), " ")).drop("_tokens", "_at")
 
 
-def sections(nodes: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text", heading: str = "is_heading", title: str = "title", unnamed: str = "[Intro]") -> DataFrame:
+def sections(nodes: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text", heading: str = "is_heading", title: str = "title", unnamed: str = "[Intro]", apart: str = "\n") -> DataFrame:
     """(doc, section, heading, body): each heading opens a section; sections without a body are left out.
 
     A section before the first heading is headed by the document's title, else by `unnamed`. Bodies keep their order.
@@ -46,7 +46,7 @@ def sections(nodes: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str
         F.max(F.when(F.col(heading) == 1, F.col(text))).alias("h"), F.first(title, ignorenulls=True).alias("m"), F.transform(body, lambda x: x["t"]).alias("parts")
     )
     out = out.where(F.size("parts") > 0)
-    return out.select(doc, "section", F.coalesce(T.first_nonblank(F.col("h"), F.col("m")), F.lit(unnamed)).alias("heading"), F.array_join("parts", "\n").alias("body"))
+    return out.select(doc, "section", F.coalesce(T.first_nonblank(F.col("h"), F.col("m")), F.lit(unnamed)).alias("heading"), F.array_join("parts", apart).alias("body"))
 
 
 def pack(parts: list[str], size: int = 250, overlap: int = 25, compat: bool = False, length: Callable[[str], int] | None = None) -> list[str]:

@@ -28,28 +28,37 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def find(self, *tags: str) -> list[Node]:
-        return [n for n in self.walk() if n.tag in tags]
-
-    def strings(self):
-        for c in self.children:
-            if isinstance(c, str):
-                yield c
-            elif c.tag not in _SILENT:
-                yield from c.strings()
-
-    def text(self, apart: str = " ") -> str:
-        return apart.join(t for s in self.strings() if (t := " ".join(s.split())))
-
-    def without(self, *tags: str) -> Node:
-        """A copy without the elements of these tags."""
-        return Node(self.tag, self.attrs, [c if isinstance(c, str) else c.without(*tags) for c in self.children if isinstance(c, str) or c.tag not in tags])
+    def walk(self, skip: tuple[str, ...] = ()):
+        """All elements within, in order, by a stack; those of the tags in `skip` come but not what they hold."""
+        open_ = [iter(self.children)]
+        while open_:
+            for c in open_[-1]:
+                if isinstance(c, Node):
+                    yield c
+                    if c.tag not in skip:
+                        open_.append(iter(c.children))
+                        break
+            else:
+                open_.pop()
+
+    def find(self, *tags: str, skip: tuple[str, ...] = ()) -> list[Node]:
+        return [n for n in self.walk(skip) if n.tag in tags]
+
+    def strings(self, skip: tuple[str, ...] = ()):
+        """The strings within, in order, without those of silent elements and of the tags in `skip`."""
+        open_ = [iter(self.children)]
+        while open_:
+            for c in open_[-1]:
+                if isinstance(c, str):
+                    yield c
+                elif c.tag not in _SILENT and c.tag not in skip:
+                    open_.append(iter(c.children))
+                    break
+            else:
+                open_.pop()
+
+    def text(self, apart: str = " ", skip: tuple[str, ...] = ()) -> str:
+        return apart.join(t for s in self.strings(skip) if (t := " ".join(s.split())))
 
 
 class _Builder(HTMLParser):
@@ -95,14 +104,17 @@ def parsed(html: str) -> Node:
 
 
 def table_rows(table: Node) -> tuple[list[str], list[list[str]]]:
-    """(headers, rows of cells): headers from the head, else from the first row; a head without a body has no rows."""
-    head = table.find("thead")
+    """(headers, rows of cells): headers from the head, else from the first row; a head without a body has no rows.
+
+    Rows of a table within a cell are that cell's text.
+    """
+    own = lambda node, *tags: node.find(*tags, skip=("table",))
+    head = own(table, "thead")
     cells = lambda row: [c.text() for c in row.children if isinstance(c, Node) and c.tag in ("th", "td")]
     if head:
-        headers = [c.text() for h in head for r in h.find("tr") for c in r.find("th", "td")]
-        body = table.find("tbody")
-        return headers, [cells(r) for b in body for r in b.find("tr")]
-    rows = [cells(r) for r in table.find("tr")]
+        headers = [c.text() for h in head for r in own(h, "tr") for c in r.children if isinstance(c, Node) and c.tag in ("th", "td")]
+        return headers, [cells(r) for b in own(table, "tbody") for r in own(b, "tr")]
+    rows = [cells(r) for r in own(table, "tr")]
     return (rows[0], rows[1:]) if rows else ([], [])
 
 
@@ -117,27 +129,28 @@ def is_heading(node: Node) -> bool:
     if node.tag in HEADINGS:
         return True
     whole = len(node.text(""))
-    bold = whole if node.tag in _BOLD else sum(len(n.text("")) for n in node.find(*_BOLD) if not any(n is c for b in node.find(*_BOLD) for c in b.walk()))
+    bold = whole if node.tag in _BOLD else sum(len(n.text("")) for n in node.find(*_BOLD, skip=_BOLD))
     return whole > 0 and bold / max(1, whole) >= BOLD_SHARE
 
 
+def _list_lines(node: Node) -> list[str]:
+    """A line for each item, bulleted unless heading-like, with all text in it; what is beside the items in lines of its own."""
+    out = []
+    for c in node.children:
+        text = " ".join(c.split()) if isinstance(c, str) else "" if c.tag in _SILENT or c.tag == "table" else c.text(skip=("table",))
+        if text:
+            out.append(f"• {text}" if isinstance(c, Node) and c.tag == "li" and not is_heading(c) else text)
+    return out
+
+
 def node_text(node: Node) -> str:
-    """Tables first, then list items (bulleted unless heading-like), images by their alternative text, else the flat text."""
-    tables = [node] if node.tag == "table" else node.find("table")
-    parts = [t for x in tables if (t := table_text(x))]
-    if node.tag != "table":
-        rest = node.without("table")
-        if rest.tag in _LISTS or rest.find(*_LISTS):
-            for item in rest.find("li"):
-                if text := item.text():
-                    parts.append(text if is_heading(item) else f"• {text}")
-        elif rest.tag == "img" or rest.find("img"):
-            images = [rest] if rest.tag == "img" else rest.find("img")
-            parts += [f"[Hình: {i.attrs['alt']}]" for i in images if i.attrs.get("alt")]
-            if text := rest.text():
-                parts.append(text)
-        elif text := rest.text():
-            parts.append(text)
+    """Tables first, wherever they are; then a list's items, an image's alternative text, or all other text flat, after the texts of images in it."""
+    if node.tag == "table":
+        return table_text(node)
+    parts = [t for x in node.find("table", skip=("table",)) if (t := table_text(x))]
+    images = [node] if node.tag == "img" else [] if node.tag in _LISTS else node.find("img", skip=("table",))
+    parts += [f"[Hình: {i.attrs['alt'].strip()}]" for i in images if i.attrs.get("alt", "").strip()]
+    parts += _list_lines(node) if node.tag in _LISTS else [t] if (t := node.text(skip=("table",))) else []
     return "\n".join(parts)
 
 
@@ -159,44 +172,45 @@ def _title(page: Node, selector: str = "h2.single-content-title") -> str:
     return ""
 
 
-def page_nodes(html: str, root: str = "article") -> list[tuple[int, int, str, str]]:
-    """(pos, is_heading, text, title) of the block-level parts of the page's root (`tag.class`); none without one."""
+def page_nodes(html: str, root: str = "article", bare: bool = False) -> list[tuple[int, int, str, str]]:
+    """(pos, is_heading, text, title) of the child elements of the page's root (`tag.class`) that have text; none without a root.
+
+    Text of the root that is in no child element is left out, unless `bare`.
+    """
     page = parsed(html)
     main = _root(page, root)
     if main is None:
         return []
     title = _title(page)
     out: list[tuple[int, int, str, str]] = []
-
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                if text := " ".join(c.split()):
-                    out.append((len(out), 0, text, title))
-            elif c.tag in _SILENT:
-                continue
-            elif is_heading(c):
-                if text := c.text():
-                    out.append((len(out), 1, text, title))
-            elif c.tag in ("div", "section", "main", "body") and not c.find("table"):
-                visit(c)
-            elif text := node_text(c):
-                out.append((len(out), 0, text, title))
-
-    visit(main)
+    for c in main.children:
+        if isinstance(c, str):
+            heading, text = 0, " ".join(c.split()) if bare else ""
+        elif c.tag in _SILENT:
+            continue
+        else:
+            heading = int(is_heading(c))
+            text = c.text() if heading else node_text(c)
+        if text:
+            out.append((len(out), heading, text, title))
     return out
 
 
 def _flat(node: Node) -> list[str]:
     """The stripped strings of a node, each table as one string in its place."""
     out: list[str] = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(" ".join(c.split()))
-        elif c.tag == "table":
-            out.append(table_text(c))
-        elif c.tag not in _SILENT:
-            out += _flat(c)
+    open_ = [iter(node.children)]
+    while open_:
+        for c in open_[-1]:
+            if isinstance(c, str):
+                out.append(" ".join(c.split()))
+            elif c.tag == "table":
+                out.append(table_text(c))
+            elif c.tag not in _SILENT:
+                open_.append(iter(c.children))
+                break
+        else:
+            open_.pop()
     return [x for x in out if x]
 
 
@@ -207,26 +221,45 @@ def main_content(html: str, root: str = "article") -> tuple[str, str]:
     return ("", "") if main is None else (_title(page), " ".join(_flat(main)))
 
 
-def _batched(df: DataFrame, html_col: str, make: Callable[[str], object], kind: str) -> DataFrame:
-    @F.pandas_udf(kind)
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: None if x is None else make(x))
+def _tried(make: Callable[[str], object]) -> Callable[[str | None], tuple[object, str | None]]:
+    """(result, error): one bad page is not the others' failure; a null page has neither."""
 
-    return df.withColumn("_made", run(F.col(html_col)))
+    def run(html: str | None) -> tuple[object, str | None]:
+        try:
+            return (None, None) if html is None else (make(html), None)
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
 
+    return run
+
+
+def nodes(pages: DataFrame, html_col: str = "html", root: str = "article", bare: bool = False) -> DataFrame:
+    """A row for each node of each page: pos, is_heading, text, title, error, with the page's other columns.
+
+    A page that fails has one row with its error and nulls, of which `sections` makes nothing.
+    """
+    make = _tried(lambda x: page_nodes(x, root, bare))
+    kind = "array<struct<pos:int,is_heading:int,text:string,title:string,error:string>>"
+
+    def rows(html: str | None) -> list[dict]:
+        found, error = make(html)
+        if error is not None:
+            return [{"pos": None, "is_heading": None, "text": None, "title": None, "error": error}]
+        return [{"pos": p, "is_heading": h, "text": t, "title": m, "error": None} for p, h, t, m in found or []]
+
+    @F.pandas_udf(kind)
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([rows(x) for x in column], dtype=object)
 
-def nodes(pages: DataFrame, html_col: str = "html", root: str = "article") -> DataFrame:
-    """A row for each node of each page: pos, is_heading, text, title, with the page's other columns."""
-    make = lambda x: [{"pos": p, "is_heading": h, "text": t, "title": m} for p, h, t, m in page_nodes(x, root)]
-    out = _batched(pages, html_col, make, "array<struct<pos:int,is_heading:int,text:string,title:string>>")
-    return out.drop(html_col).withColumn("_made", F.explode("_made")).select("*", "_made.*").drop("_made")
+    return pages.withColumn("_made", F.explode(run(F.col(html_col)))).drop(html_col).select("*", "_made.*").drop("_made")
 
 
 def contents(pages: DataFrame, html_col: str = "html", root: str = "article") -> DataFrame:
-    """The pages' other columns with title and content."""
+    """The pages' other columns with title and content, both empty where the page is null or fails."""
+    make = _tried(lambda x: main_content(x, root))
 
     @F.pandas_udf("title string, content string")
     def run(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([main_content(x or "", root) for x in column], columns=["title", "content"])
+        return pd.DataFrame([make(x)[0] or ("", "") for x in column], columns=["title", "content"])
 
     return pages.withColumn("_made", run(F.col(html_col))).drop(html_col).select("*", "_made.*").drop("_made")

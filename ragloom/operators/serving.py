@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 from ragloom.operators import qa as Q
 from ragloom.operators import retrieval as R
+from ragloom.operators.keyed import KeyedTable
 
 VECTORS = "id long, field string, vec array<float>"
 
@@ -32,36 +33,21 @@ def vectorised(rows: DataFrame, id_col: str, fields: tuple[str, ...], embed: Cal
     return made, rows.withColumn(flag, F.when(done, F.lit(1)).otherwise(F.col(flag)))
 
 
-def _versions(spark: SparkSession, path: str) -> tuple[object, list[int]]:
-    """(file system, numbers of the complete versions under `path`, ascending)."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return files, sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit() and files.exists(at(f"{path}/{n}/_SUCCESS")))
-
-
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The latest complete version of a vector table; an empty one where there is none yet."""
-    _, found = _versions(spark, path)
-    return spark.read.schema(VECTORS).parquet(f"{path}/v-{found[-1]}") if found else spark.createDataFrame([], VECTORS)
+    """The latest version of a vector table; an empty one where there is none yet."""
+    stored = KeyedTable(spark, path)
+    return stored.read() if stored.versions() else spark.createDataFrame([], VECTORS)
 
 
-def write_vectors(vectors: DataFrame, path: str, keep: int = 2) -> int:
+def write_vectors(vectors: DataFrame, path: str) -> int:
     """Puts vectors in place of those of equal (id, field), adds the others, and returns the version.
 
-    A version is a folder of its own, complete once its success marker is there, so readers never see half of it; all
-    but the last `keep` are deleted. Of vectors that repeat a key one stays.
+    Only the buckets that the vectors fall into are written anew; `KeyedTable.vacuum` deletes what no version needs.
+    Of vectors that repeat a key the greatest stays.
     """
-    spark = vectors.sparkSession
-    files, found = _versions(spark, path)
-    new = vectors.select("id", "field", F.col("vec").cast("array<float>").alias("vec")).dropDuplicates(["id", "field"])
-    old = read_vectors(spark, path).join(new.select("id", "field"), ["id", "field"], "left_anti")
-    version = found[-1] + 1 if found else 0
-    old.unionByName(new).write.mode("overwrite").parquet(f"{path}/v-{version}")
-    for n in found[: max(0, len(found) + 1 - keep)]:
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v-{n}"), True)
-    return version
+    stored = KeyedTable(vectors.sparkSession, path)
+    stored.create(VECTORS, ["id", "field"])
+    return stored.upsert(vectors).version
 
 
 def questions(spark: SparkSession, texts: list[str | None]) -> DataFrame:
