@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-#: Documents of more pages give nothing, unless another limit or none is given; tokens and overlap of a page's windows.
-MAX_PAGES, WINDOW, OVERLAP = 10, 250, 25
+#: Documents of more pages give nothing, unless another limit or none is given; tokens and overlap of a page's windows, and overlap of a Word file's.
+MAX_PAGES, WINDOW, OVERLAP, WORD_OVERLAP = 10, 250, 25, 24
 
 
 def _row_text(headers: list[str], row: list[str | None]) -> str:
@@ -27,16 +27,18 @@ def _valid(table: list[list]) -> bool:
     return len(table) > 1 and len(table[0]) > 1
 
 
-def docx_lines(raw: bytes) -> list[str]:
-    """A line for each row of its tables, headed by their first rows; where there is no table, its paragraphs."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t")).strip()
+def docx_lines(raw: bytes, size: int = WINDOW, overlap: int = WORD_OVERLAP) -> list[str]:
+    """A line for each row of its tables, headed by their first rows; where there is no table, token windows over all its paragraphs."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")).find(f"{_W}body")
+    said = {f"{_W}t": lambda t: t.text or "", f"{_W}tab": lambda t: "\t", f"{_W}br": lambda t: "\n", f"{_W}cr": lambda t: "\n"}
+    text = lambda e: "".join(said[t.tag](t) for t in e.iter() if t.tag in said)
     tables = list(body.iter(f"{_W}tbl"))
     if not tables:
-        return [t for p in body.iter(f"{_W}p") if (t := text(p))]
+        return _windows("\n".join(t for p in body.iter(f"{_W}p") if (t := text(p)).strip()), size, overlap)
     lines = []
     for table in tables:
-        rows = [[text(c) for c in r.iter(f"{_W}tc")] for r in table.iter(f"{_W}tr")]
+        cell = lambda c: "\n".join(text(p) for p in c.iter(f"{_W}p"))
+        rows = [[cell(c).strip() for c in r.findall(f"{_W}tc")] for r in table.findall(f"{_W}tr")]
         if _valid(rows):
             headers = [h.lower().replace("\n", " ") for h in rows[0]]
             lines += [t for r in rows[1:] if (t := _row_text(headers, r))]
