@@ -14,9 +14,10 @@ last; an edge that two source coordinates share is repeated. The steps:
 4. Degrees of the nodes of all distinct repeated edges come from one aggregation. Where one edge comes in and
    one goes out, the two belong to one path: edges that also follow each other in their source compact to
    pieces, and pieces to paths, by joins of ever longer reach (`_paths`).
-5. A source's repeated coordinates that follow each other as the coordinates they refer to do are a span. A
-   span holds if the paths cover the words it refers to, and if the words at both coordinates have one
-   digest; should a digest differ, two edges shared a hash, and all is done again with other hashes.
+5. A source's repeated coordinates that follow each other as the coordinates they refer to do are a span. Where
+   these lie on paths, it goes along them: a source's parts that follow each other on one path are one stretch,
+   a reference to that path, its first edge and its length (`_along`). The words at both coordinates of a span
+   must have one digest; should one differ, two edges shared a hash, and all is done again with other hashes.
 6. The texts join their spans and lose the covered words.
 """
 
@@ -40,6 +41,8 @@ from ragloom.llm.textwords import U, blocks, bounds, gram_hashes, long_gram_hash
 ANCHOR = 16
 #: Items that a task collects before it packs them.
 FLUSH = 1 << 18
+#: Edges of a block of coordinates by which spans meet pieces of paths.
+BLOCK = 256
 #: Bases of the nodes' hashes; a further one is used when words at coordinates of one edge are found to differ.
 BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -362,6 +365,26 @@ def _paths(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _along(spans: DataFrame, paths: DataFrame) -> DataFrame:
+    """(u, p, n, path, at): the stretches of sources that follow a path, from their word p and its edge `at` on for n edges.
+
+    The edges that a span refers to lie on pieces of paths, which are met by blocks of coordinates, so that a span meets
+    only pieces near it. Parts that follow each other in their source and on one path are one stretch, and its length is
+    what it goes along that path.
+    """
+    blocks_of = lambda p, n: F.explode(F.sequence(F.floor(F.col(p) / BLOCK), F.floor((F.col(p) + F.col(n) - 1) / BLOCK))).alias("block")
+    pieces = paths.select(F.col("u").alias("ru"), F.col("p").alias("q"), F.col("n").alias("m"), "path", "at", blocks_of("p", "n"))
+    parts = spans.select("u", "p", "n", "ru", "rp", blocks_of("rp", "n")).join(pieces, ["ru", "block"])
+    low = F.greatest(F.col("rp"), F.col("q"), F.col("block") * BLOCK)
+    high = F.least(F.col("rp") + F.col("n"), F.col("q") + F.col("m"), (F.col("block") + 1) * BLOCK)
+    parts = parts.where(low < high).select("u", (F.col("p") + low - F.col("rp")).cast("int").alias("p"), "path", (F.col("at") + low - F.col("q")).cast("long").alias("at"), (high - low).cast("long").alias("n"))
+    line = Window.partitionBy("u").orderBy("p")
+    on = (F.lag("path").over(line) == F.col("path")) & (F.lag(F.col("at") + F.col("n")).over(line) == F.col("at")) & (F.lag(F.col("p") + F.col("n")).over(line) == F.col("p"))
+    cut = parts.withColumn("k", F.sum((~F.coalesce(on, F.lit(False))).cast("int")).over(line))
+    out = cut.groupBy("u", "k").agg(F.min("p").alias("p"), F.first("path").alias("path"), F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    return out.select("u", "p", (F.col("end") - F.col("at")).cast("int").alias("n"), "path", "at")
+
+
 def _digests(window: int):
     """(u, p, n, d): for each wanted stretch of n windows from word p on, the digest of its words."""
 
@@ -474,15 +497,15 @@ def _known(texts: DataFrame, length: int, window: int) -> DataFrame:
         spans = stored(both.where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_spans, "u long, p int, n int, ru long, rp int, level int"), "passages-spans")
         paths = _paths(both.where("blob is null").select("l", "r", "u", "p"))
         drop(both)
-        covered = _stretches(paths, "u", "p", "n").toDF("ru", "a", "b")
-        within = (F.col("rp") >= F.col("a")) & (F.col("rp") + F.col("n") <= F.col("b"))
-        first = stored(spans.where("level = 0").join(covered, "ru").where(within).drop("a", "b"), "passages-first")
+        first = stored(_along(spans.where("level = 0"), paths), "passages-first")
         # those that refer to what was sent in their place hold where that has been placed itself
         sent = spans.where("level = 1")
         placed = _stretches(first.join(sent.select(F.col("ru").alias("u")).distinct(), "u", "left_semi"), "u", "p", "n").toDF("ru", "a", "b")
-        held = stored(first.union(sent.join(placed, "ru").where(within).select(first.columns)), "passages-held")
+        within = (F.col("rp") >= F.col("a")) & (F.col("rp") + F.col("n") <= F.col("b"))
+        held = stored(first.select("u", "p", "n").union(sent.join(placed, "ru").where(within).select("u", "p", "n")), "passages-held")
+        same = _verified(spans.where("u != ru or p != rp").select("u", "p", "n", "ru", "rp"), texts, window)
         drop(spans, paths, first)
-        if _verified(held.where("u != ru or p != rp").select("u", "p", "n", "ru", "rp"), texts, window):
+        if same:
             drop(anchored)
             runs = _stretches(held, "u", "p", "n").select("u", F.struct(F.col("a").alias("p"), (F.col("b") - F.col("a")).alias("n")).alias("x"))
             return runs.groupBy("u").agg(F.array_sort(F.collect_list("x")).alias("found"))
