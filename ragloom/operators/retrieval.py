@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import vectors as V
+from ragloom.operators.lasting import lasting
 
 
 
@@ -33,61 +33,104 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: Callable[[
 FEW = 1024
 #: Vectors that a block of `top_k_blocks` holds, about; and the distance in score that rounding to 6 places can bridge.
 BLOCK, NEAR = 2048, 2e-6
+#: Bytes of queries that are sent to all tasks, at most, and kinds for which a task remembers the best scores.
+QUERY_BYTES, KINDS = 8 << 20, 256
 
 
-def _best(k: int, by: tuple[str, ...], skip_self: bool):
-    """Of a block of queries against a block of vectors, every pair that can be among the k best (of each value of `by`)."""
+def _kept(query: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, kinds: list[tuple], k: int, skip_self: bool, least: dict[tuple, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vector's place, score) of every pair that can be among the k best of its query and kind.
+
+    `least` holds, by kind, the k best scores that each query has met; it is used as a bound and brought up to date.
+    """
+    score = q @ v.T
+    if skip_self:
+        score[query[:, None] == ids[None, :]] = -np.inf
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(kinds):
+        groups.setdefault(key, []).append(i)
+    left, right = [], []
+    for key, own in groups.items():
+        part = score[:, own]
+        best = part if len(own) <= k else -np.partition(-part, k - 1, axis=1)[:, :k]
+        if key in least or len(least) < KINDS:
+            best = np.concatenate([least.get(key, np.full((len(q), k), -np.inf)), best], 1)
+            best = -np.partition(-best, k - 1, axis=1)[:, :k]
+            least[key] = best
+        bound = best.min(1, keepdims=True) if best.shape[1] >= k else -np.inf
+        a, b = np.nonzero((part >= bound - NEAR) & (part > -np.inf))
+        left.append(a)
+        right.append(np.array(own)[b])
+    a, b = np.concatenate(left), np.concatenate(right)
+    exact = np.zeros(len(a))
+    for d in range(q.shape[1]):  # in the order in which a row's aggregate adds
+        exact += q[a, d] * v[b, d]
+    # of exactly equal scores the k of least id suffice
+    kind = np.zeros(len(ids), np.int64)
+    for j, own in enumerate(groups.values()):
+        kind[own] = j
+    order = np.lexsort((ids[b], -exact, kind[b], a))
+    a, b, exact = a[order], b[order], exact[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (kind[b[1:]] != kind[b[:-1]]) | (exact[1:] != exact[:-1])
+    at = np.arange(len(a))
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < k
+    return a[keep], b[keep], exact[keep]
+
+
+def _numbers(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
+def _blocks(k: int, by: tuple[str, ...], skip_self: bool):
+    """Of a block of queries against a block of vectors, the pairs that _kept keeps."""
 
     def run(table: pa.Table) -> pa.Table:
         qs, vs = (table.column(c).combine_chunks().flatten() for c in ("qs", "vs"))
-        query, ids = qs.field("query").to_numpy(zero_copy_only=False), vs.field("id").to_numpy(zero_copy_only=False)
-        q, v = (x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1) for x in (qs.field("qvec"), vs.field("vec")))
-        score = q @ v.T
-        if skip_self:
-            score[query[:, None] == ids[None, :]] = -np.inf
-        keys: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(*(vs.field(c).to_pylist() for c in by), strict=True) if by else [()] * len(ids)):
-            keys.setdefault(key, []).append(i)
-        left, right = [], []
-        for own in keys.values():
-            part = score[:, own]
-            least = np.partition(part, -k, axis=1)[:, -k, None] if k < len(own) else -np.inf
-            a, b = np.nonzero((part >= least - NEAR) & (part > -np.inf))
-            left.append(a)
-            right.append(np.array(own)[b])
-        a, b = np.concatenate(left), np.concatenate(right)
-        exact = np.zeros(len(a))
-        for d in range(q.shape[1]):  # in the order in which a row's aggregate adds
-            exact += q[a, d] * v[b, d]
-        # of exactly equal scores the k of least id suffice
-        kind = np.zeros(len(ids), np.int64)
-        for j, own in enumerate(keys.values()):
-            kind[own] = j
-        order = np.lexsort((ids[b], -exact, kind[b], a))
-        a, b, exact = a[order], b[order], exact[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (kind[b[1:]] != kind[b[:-1]]) | (exact[1:] != exact[:-1])
-        at = np.arange(len(a))
-        keep = at - np.maximum.accumulate(np.where(new, at, 0)) < k
-        a, b = a[keep], b[keep]
-        return pa.Table.from_arrays([qs.field("query").take(pa.array(a)), *(vs.field(c).take(pa.array(b)) for c in by), vs.field("id").take(pa.array(b)), pa.array(exact[keep])], ["query", *by, "id", "score"])
+        kinds = list(zip(*(vs.field(c).to_pylist() for c in by), strict=True)) if by else [()] * len(vs)
+        plain = lambda x: x.to_numpy(zero_copy_only=False)
+        a, b, score = _kept(plain(qs.field("query")), _numbers(qs.field("qvec")), plain(vs.field("id")), _numbers(vs.field("vec")), kinds, k, skip_self, {})
+        return pa.Table.from_arrays([qs.field("query").take(pa.array(a)), *(vs.field(c).take(pa.array(b)) for c in by), vs.field("id").take(pa.array(b)), pa.array(score)], ["query", *by, "id", "score"])
+
+    return run
+
+
+def _scanning(queries: pa.Table, k: int, by: tuple[str, ...], skip_self: bool):
+    """Of all queries against a task's vectors, block by block, the pairs that can still be among the k best."""
+    names = ["query", *by, "id", "score"]
+
+    def run(batches):
+        asked = queries.column("query").combine_chunks()
+        query, q, least = asked.to_numpy(zero_copy_only=False), _numbers(queries.column("qvec").combine_chunks()), {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                kinds = list(zip(*(part.column(c).to_pylist() for c in by), strict=True)) if by else [()] * part.num_rows
+                a, b, score = _kept(query, q, part.column("id").to_numpy(zero_copy_only=False), _numbers(part.column("vec")), kinds, k, skip_self, least)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(a)), *(part.column(c).take(pa.array(b)) for c in by), part.column("id").take(pa.array(b)), pa.array(score)], names)
 
     return run
 
 
-def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, by: tuple[str, ...] = (), skip_self: bool = False) -> DataFrame:
-    """As `top_k` by inner product, for any number of queries: blocks of them against blocks of all vectors, a matrix product each.
+def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 5, by: tuple[str, ...] = (), skip_self: bool = False, few: int = QUERY_BYTES) -> DataFrame:
+    """As `top_k` by inner product, for any number of queries, by matrix products.
 
-    A pair of blocks sends on only what can be among its k best; these scores are added up as `top_k` adds them. Null
-    vectors are left out; all others have one length.
+    Queries of up to `few` measured bytes go to all tasks, which read the vectors where they are and send on only what
+    can be among the k best of all they have seen. More queries meet the vectors in blocks of both. Scores are added up
+    as `top_k` adds them. Null vectors are left out; all others have one length.
     """
     queries, vectors = queries.where("qvec is not null"), vectors.where("vec is not null")
-    block = lambda df, c: F.pmod(F.xxhash64(c), F.lit(-(-df.count() // BLOCK) or 1))
-    one = queries.groupBy(block(queries, "query").alias("qb")).agg(F.collect_list(F.struct("query", "qvec")).alias("qs"))
-    two = vectors.groupBy(block(vectors, "id").alias("vb")).agg(F.collect_list(F.struct("id", "vec", *by)).alias("vs"))
     types = {"query": queries.schema["query"], "id": vectors.schema["id"]} | {c: vectors.schema[c] for c in by}
     schema = ", ".join(f"{c} {types[c].dataType.simpleString()}" for c in ("query", *by, "id")) + ", score double"
-    found = one.crossJoin(two).groupBy("qb", "vb").applyInArrow(_best(k, by, skip_self), schema).withColumn("score", F.round("score", 6))
+    size = queries.agg(F.coalesce(F.sum(F.size("qvec") * 8 + 16), F.lit(0)).alias("b")).first()["b"]
+    if size <= few:
+        held = queries.select("query", "qvec").toArrow()
+        found = vectors.select("id", "vec", *by).mapInArrow(_scanning(held, k, by, skip_self), schema) if held.num_rows else vectors.sparkSession.createDataFrame([], schema)
+    else:
+        block = lambda df, c: F.pmod(F.xxhash64(c), F.lit(-(-df.count() // BLOCK) or 1))
+        one = queries.groupBy(block(queries, "query").alias("qb")).agg(F.collect_list(F.struct("query", "qvec")).alias("qs"))
+        two = vectors.groupBy(block(vectors, "id").alias("vb")).agg(F.collect_list(F.struct("id", "vec", *by)).alias("vs"))
+        found = one.crossJoin(two).groupBy("qb", "vb").applyInArrow(_blocks(k, by, skip_self), schema)
+    found = found.withColumn("score", F.round("score", 6))
     at = Window.partitionBy("query", *by).orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
@@ -126,39 +169,89 @@ def positions_named(hits: DataFrame, names: DataFrame) -> DataFrame:
     return hits.join(names, "position", "left")
 
 
-#: Passages that one automaton holds, in characters; more of them go in several.
-AUTOMATON = 8 << 20
+#: Bytes of a shingle; bytes of shingles' hashes that are looked up in one reading of the documents; bytes of a text hashed at once.
+SHINGLE, LOOKED_UP, PIECE = 24, 8 << 20, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_VALUE = np.random.Generator(np.random.PCG64(12)).integers(1, 2**64, 256, dtype=np.uint64)
 
 
-def containment(passages: DataFrame, docs: DataFrame, item: str = "item_id", text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """(item, n): in how many documents each passage occurs verbatim. Documents are read once for each AUTOMATON of passages."""
-    size = passages.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first()["n"]
-    parts = -(-size // AUTOMATON) or 1
-    found = None
-    for p in range(parts):
-        part = [(r[0], r[1]) for r in passages.where(F.pmod(F.xxhash64(item), F.lit(parts)) == p).select(item, text).where(F.length(text) > 0).collect()]
-        hits = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null").mapInPandas(_matching(part), "item long, doc long")
-        found = hits if found is None else found.union(hits)
-    counts = found.groupBy("item").agg(F.countDistinct("doc").alias("n"))
-    return passages.select(item).join(counts, F.col(item) == F.col("item"), "left").select(item, F.coalesce("n", F.lit(0)).alias("n"))
+def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash of each `size` consecutive bytes."""
+    data = np.frombuffer(raw, np.uint8)
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    power, back = np.full(len(data), _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    power[0] = back[0] = 1
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * np.multiply.accumulate(power), out=total[1:])
+    return ((total[size:] - total[:-size]) * np.multiply.accumulate(back)).view(np.int64)
+
 
+def _aligned(size: int):
+    """(passage, size, hash) of the passages' shingles at multiples of their size; a shorter passage is one shingle."""
 
-def _matching(passages: list[tuple[int, str]]):
     def run(batches):
-        import ahocorasick
-
-        by: dict[str, list[int]] = {}
-        for i, t in passages:
-            by.setdefault(t, []).append(i)
-        machine = ahocorasick.Automaton()
-        for t, ids in by.items():
-            machine.add_word(t, ids)
-        if by:
-            machine.make_automaton()
         for batch in batches:
-            out = []
-            for d, t in zip(batch["doc"], batch["text"], strict=True) if by else ():
-                out += [(i, d) for i in {i for _, ids in machine.iter(t) for i in ids}]
-            yield pd.DataFrame(out, columns=["item", "doc"])
+            out: tuple[list, list, list] = ([], [], [])
+            for text in batch.column(0).to_pylist():
+                raw = text.encode()
+                n = min(size, len(raw))
+                hashes = np.unique(shingle_hashes(raw, n)[::n]).tolist()
+                for column, values in zip(out, ([text] * len(hashes), [n] * len(hashes), hashes), strict=True):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["passage", "size", "hash"])
 
     return run
+
+
+def _holding(wanted: dict[int, np.ndarray]):
+    """(doc, size, hash) of the wanted shingles that each document holds at any place."""
+
+    def run(batches):
+        for batch in batches:
+            rows, sizes, found = [], [], []
+            for k, text in enumerate(batch.column("text")):
+                raw = (text.as_py() or "").encode()
+                for size, known in wanted.items():
+                    hits = [np.zeros(0, np.int64)]
+                    for a in range(0, len(raw), PIECE):
+                        here = shingle_hashes(raw[a : a + PIECE + size - 1], size)
+                        at = np.searchsorted(known, here)
+                        hits.append(here[known[np.minimum(at, len(known) - 1)] == here])
+                    new = np.unique(np.concatenate(hits))
+                    rows += [k] * len(new)
+                    sizes += [size] * len(new)
+                    found.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["doc", "size", "hash"])
+
+    return run
+
+
+def containment(passages: DataFrame, docs: DataFrame, item: str = "item_id", text: str = "text", doc: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """(item, n): in how many documents each passage occurs verbatim; each row of passages counts for itself.
+
+    Documents tell which of the passages' shingles they hold; a passage is looked up by the one of its shingles that
+    fewest documents hold, and each pair that meets is compared as a whole. One reading of the documents looks up
+    LOOKED_UP bytes of shingles; more passages take several. Null and empty passages occur nowhere.
+    """
+    texts = passages.select(F.col(text).cast("string").alias("passage")).where("passage <> ''").distinct()
+    pieces = lasting(texts.mapInArrow(_aligned(size), "passage string, size int, hash long"))
+    parts = -(-pieces.count() * 8 // LOOKED_UP)
+    whole, hits = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")), None
+    for p in range(parts):
+        part = pieces.where(F.pmod(F.xxhash64("passage"), F.lit(parts)) == p)
+        wanted: dict[int, list[int]] = {}
+        for r in part.select("size", "hash").distinct().collect():  # about LOOKED_UP bytes
+            wanted.setdefault(r["size"], []).append(r["hash"])
+        sorted_ = {n: np.sort(np.array(h, np.int64)) for n, h in wanted.items()}
+        found = lasting(whole.where("text is not null").mapInArrow(_holding(sorted_), f"doc {whole.schema['doc'].dataType.simpleString()}, size int, hash long").distinct())
+        many = found.groupBy("size", "hash").agg(F.count(F.lit(1)).alias("n"))
+        # a passage of which some shingle is held by no document is in none
+        rarest = part.join(many, ["size", "hash"], "left").groupBy("passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "hash")).alias("r")).where("r.n > 0").select("passage", "r.size", "r.hash")
+        met = rarest.join(found, ["size", "hash"]).select("passage", "doc").join(whole, "doc").where(F.contains("text", "passage")).select("passage", "doc").distinct()
+        hits = met if hits is None else hits.union(met)
+    if hits is None:
+        return passages.select(item, F.lit(0).cast("long").alias("n"))
+    counts = hits.groupBy("passage").agg(F.count(F.lit(1)).alias("_n"))
+    return passages.select(F.col(item), F.col(text).cast("string").alias("_p")).join(counts, F.col("_p") == F.col("passage"), "left").select(item, F.coalesce("_n", F.lit(0)).alias("n"))
