@@ -79,6 +79,13 @@ def connectivity_messages() -> Column:
     return F.array(_message("user", F.lit("Hello")))
 
 
+def highlight_prompt(passage: Column, part: Column) -> Column:
+    """Asks for a question that the highlighted part of a passage answers: its first occurrence between marks; without one, the passage alone."""
+    at = F.instr(passage, part)
+    marked = F.concat(F.substr(passage, F.lit(1), at - 1), F.lit("<hl>"), part, F.lit("<hl>"), F.substr(passage, at + F.length(part)))
+    return F.concat(F.lit("generate question: "), F.when((at > 0) & (part != ""), marked).otherwise(passage))
+
+
 def site_query(question: Column, site: str) -> Column:
     """A web search for the question within one site."""
     return F.concat(F.lit(f"site:{site} "), question)

@@ -1,5 +1,5 @@
 """Named queries."""
 
-from ragloom.plans import bookkeeping, files, ingest, search, serving, streams, texts
+from ragloom.plans import bookkeeping, files, ingest, lookups, search, serving, streams, texts
 
-__all__ = ["bookkeeping", "files", "ingest", "search", "serving", "streams", "texts"]
+__all__ = ["bookkeeping", "files", "ingest", "lookups", "search", "serving", "streams", "texts"]

@@ -25,6 +25,16 @@ def setting(key: str, default: str | None = None, required: bool = False) -> str
     return value
 
 
+def unchunked_pages(rows: DataFrame, mark: str, text: str = "paragraph", kind: str = "type", flag: str = "chunking") -> DataFrame:
+    """Pages that hold the mark of an article and were not chunked yet."""
+    return rows.where((F.col(kind) == "url") & (F.col(flag) == 0) & F.col(text).contains(mark))
+
+
+def unchunked_files(rows: DataFrame, suffix: str, path: str = "paragraph", kind: str = "type", flag: str = "chunking") -> DataFrame:
+    """Files of a suffix, in any case, that were not chunked yet."""
+    return rows.where((F.col(kind) == "file") & (F.col(flag) == 0) & F.lower(path).endswith(suffix.lower()))
+
+
 def sitemap_urls(xml: Column) -> Column:
     """The `loc` entries of a sitemap or a sitemap index."""
     return F.xpath(F.regexp_replace(xml, r'\sxmlns(:\w+)?="[^"]*"', ""), F.lit("//loc/text()"))
