@@ -31,6 +31,9 @@ FEATURES, ROUNDS, RATE, PENALTY = 1 << 18, 60, 0.5, 1e-6
 #: A feature may mark tokens when toxic documents are such a share of those it is in (by rates), and it is chosen as
 #: long as it marks at least so many toxic documents (and this share of them) that have not COVER chosen features yet.
 PURITY, SUPPORT, SUPPORT_SHARE, COVER = 0.98, 3, 0.004, 2
+#: A feature marks tokens also when it is in such a share of the toxic documents, of which near copies count as one:
+#: those that share this many of as many minimum hashes of their words.
+OFTEN, SKETCH, ALIKE = 0.04, 16, 8
 #: Tokens of a chunk, of a training sequence, and distinct words kept between blocks.
 CHUNK, SEQUENCE, KEPT = 64, 32, 300_000
 _TRIM = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’…"
@@ -82,7 +85,9 @@ def train(texts: list[str], toxic: list[int]) -> Field:
         seen[int(bool(y)), h] += 1
     share = seen / [[sum(not y for y in toxic)], [sum(map(bool, toxic))]]
     least = max(SUPPORT, SUPPORT_SHARE * sum(map(bool, toxic)))
-    word = _chosen(np.flatnonzero((seen[1] >= least) & (share[1] >= PURITY * (share[0] + share[1]))), [h for h, y in zip(held, toxic, strict=True) if y], least)[of].any(1)
+    able = np.flatnonzero((seen[1] >= least) & (share[1] >= PURITY * (share[0] + share[1])))
+    bad = [h for h, y in zip(held, toxic, strict=True) if y]
+    word = (_chosen(able, bad, least) | _frequent(able, _distinct(bad)))[of].any(1)
     # sequences of equal length; the rest of the last is padding
     rows, labels = [], []
     for t, y in zip(tokens, toxic, strict=True):
@@ -135,6 +140,29 @@ def _chosen(able: np.ndarray, held: list[np.ndarray], least: float) -> np.ndarra
     return marks
 
 
+def _distinct(held: list[np.ndarray]) -> list[np.ndarray]:
+    """The features of documents, near copies of which are one with the features that all of them have."""
+    draw = np.random.Generator(np.random.PCG64(8))
+    order = [draw.permutation(FEATURES) for _ in range(SKETCH)]
+    sketch = np.array([[o[h].min() if len(h) else -1 for o in order] for h in held])
+    kinds: dict[int, np.ndarray] = {}
+    kind = np.arange(len(held))
+    for i, h in enumerate(held):  # with the first document that it is alike to
+        kind[i] = kind[int(np.flatnonzero((sketch[: i + 1] == sketch[i]).sum(1) >= ALIKE)[0])]
+        k = int(kind[i])
+        kinds[k] = np.intersect1d(kinds[k], h) if k in kinds else h
+    return list(kinds.values())
+
+
+def _frequent(able: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+    """A flag per feature: whether it is in enough of the documents."""
+    marks = np.zeros(FEATURES, bool)
+    if len(able) and held:
+        many = np.sum([np.isin(able, h, assume_unique=True) for h in held], 0)
+        marks[able[many >= max(SUPPORT, OFTEN * len(held))]] = True
+    return marks
+
+
 def _sequences(odds: np.ndarray, real: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state and expected transitions, for sequences padded at their ends."""
     n, length = odds.shape
