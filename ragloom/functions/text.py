@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,9 +44,75 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, SPACE + "+", " "))
 
 
+@cache
+def _odd() -> np.ndarray:
+    """Flags of the code points that equal others, case apart, in other ways than by their lower case."""
+    out = np.zeros(0x110000, bool)
+    for i in range(0x20000):
+        low, up = chr(i).lower(), chr(i).upper()
+        if len(low) > 1 or len(up) == 1 and up.lower() != low:
+            out[[i, *map(ord, low), *map(ord, up.lower())]] = True
+    return out
+
+
+def _may_run(lines: list[str]) -> np.ndarray:
+    """Whether each text may hold a run of five equal characters; a false no is not possible. Looks at the code points of all at once."""
+    lines = [t.lower() for t in lines]
+    points = np.frombuffer("\0".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = points[1:] == points[:-1]
+    hits = _odd()[points]
+    if len(same) >= 4:
+        hits[: len(same) - 3] |= same[:-3] & same[1:-2] & same[2:-1] & same[3:]
+    out = np.zeros(len(lines), bool)
+    out[np.searchsorted(np.cumsum([len(t) + 1 for t in lines]), np.flatnonzero(hits), "right")] = True
+    return out
+
+
+_RUN = re.compile(r"(.)\1{4,}", re.I | re.S)
+
+
+def _flat(text: str) -> str:
+    """One leading bullet off, white space squeezed."""
+    return " ".join((text[1:] if text[:1] in ("•", "-") else text).split())
+
+
+def _changed(text: pd.Series, begin: Callable[[str], str], finish: Callable[[str], str]) -> pd.Series:
+    """What `begin` makes of texts, without runs, as `finish` leaves it; null where nothing changes."""
+    out: list = [None] * len(text)
+    given = ["" if t is None else t for t in text]
+    lines = [begin(t) for t in given]
+    for i, (was, old, may) in enumerate(zip(given, lines, _may_run(lines).tolist(), strict=True)):
+        new = finish(_RUN.sub(r"\1", old) if may else old)
+        if new != was:
+            out[i] = new
+    return pd.Series(out, dtype=object)
+
+
+def _same(text: str) -> str:
+    return text
+
+
+@F.pandas_udf(StringType())
+def _without_runs(text: pd.Series) -> pd.Series:
+    return _changed(text, _same, _same)
+
+
+@F.pandas_udf(StringType())
+def _stepped(text: pd.Series) -> pd.Series:
+    return _changed(text, _flat, _same)
+
+
+@F.pandas_udf(StringType())
+def _cleaned(text: pd.Series) -> pd.Series:
+    return _changed(text, _flat, lambda t: t if unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+
 def collapse_runs(text: Column) -> Column:
-    """A run of five or more equal characters (case apart) as its first."""
-    return F.regexp_replace(text, r"(?ius)(.)\1{4,}", "$1")
+    """A run of five or more equal characters (case apart) as its first.
+
+    In Python: Java's case-blind references to a group look back at every character, and fail at characters of two units at a text's end.
+    """
+    return F.coalesce(_without_runs(text), text)
 
 
 @F.pandas_udf(StringType())
@@ -58,12 +128,15 @@ def compatible(text: Column) -> Column:
 
 def clean_steps(text: Column) -> Column:
     """One leading bullet off (before any trimming, so a blank protects it), white space squeezed, long runs collapsed."""
-    return collapse_runs(squeeze(F.regexp_replace(text, rf"^[•\-]{SPACE}*", "")))
+    return F.coalesce(_stepped(text), text)
 
 
 def clean(text: Column) -> Column:
-    """clean_steps, then NFKC last, so what it expands is not collapsed again; null stays null."""
-    return compatible(clean_steps(text))
+    """clean_steps, then NFKC last, so what it expands is not collapsed again; null stays null.
+
+    One Arrow function, which gives back only what it changes: patterns for white space and runs took three times as long in the JVM.
+    """
+    return F.coalesce(_cleaned(text), text)
 
 
 def sentences(text: Column) -> Column:

@@ -102,3 +102,18 @@ def test_stored_vectors(spark, tmp_path):
     serving.write_vectors(frame((1, "a", [3.0])), path)
     serving.write_vectors(frame((2, "a", [4.0])), path)
     assert Counter((r["id"], r["field"], r["vec"][0]) for r in serving.read_vectors(spark, path).collect()) == Counter([(1, "a", 3.0), (1, "b", 2.0), (2, "a", 4.0)])
+
+
+def test_cleaning_by_the_plain_rule(spark):
+    import re
+    import unicodedata
+
+    def plain(t):
+        t = re.sub(r"\s+", " ", re.sub(r"^[•\-]\s*", "", t)).strip()
+        return unicodedata.normalize("NFKC", re.sub(r"(.)\1{4,}", r"\1", t, flags=re.I | re.S))
+
+    # characters of two UTF-16 units at the end, letters that are equal by other than their lower case, wide and odd white space
+    texts = ["İİİİİ", "ſsſSs!", "kKKkk", "ΣσςΣσ", "ııIIi", "aaaaA", "aaaa", "ßßßßß", "ŉŉŉŉŉ", "µμµμµ", "ĐđĐđđ", "", "𝒳𝒳𝒳𝒳𝒳", "      x", "• - a", "ﬁﬁﬁﬁﬁ", "①①①①①①b", " •a　 b\x1cc ", "a\n\n\n\n\n\nb", "-\n-", "x" * 100_000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.clean(F.col("t")).alias("y"))
+    assert {r["t"]: r["y"] for r in frame.collect()} == {t: plain(t) for t in texts}
+    assert spark.createDataFrame([(None,)], "t string").select(text.clean(F.col("t"))).first()[0] is None
