@@ -113,7 +113,7 @@ def test_licenses(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, duck, name):
-    assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(queries.ORACLE_SQL[name]).df())
+    assert rows(queries.QUERIES[name](spark, SF)) == rows(duck.sql(queries.ORACLE_SQL[name]))
 
 
 @pytest.mark.parametrize("sql, query", [(mix.SQL, lambda d: mix.mixed(d, carry=["doc_id"]).drop("times")), (quality.SQL, lambda d: quality.judged(d.select("doc_id", "text")).drop("text"))])
