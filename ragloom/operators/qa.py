@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ragloom.functions import scoring as S
 from ragloom.functions import vectors as V
@@ -125,9 +127,18 @@ def evaluated(rows: DataFrame, answer: str, reference: str, ids: str, relevant:
     )
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _bag(places: pd.Series, size: pd.Series) -> pd.Series:
+    """How often each place occurs, as a vector of unit length; none of no places."""
+    out: list = [None] * len(places)
+    for i, (x, n) in enumerate(zip(places, size, strict=True)):
+        if x is not None and len(x):
+            counts = np.bincount(np.asarray(x, np.int64), minlength=n).astype(float)
+            out[i] = counts / np.sqrt(np.dot(counts, counts))
+    return pd.Series(out, dtype=object)
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """The offline encoder: a bag of hashed words, of unit length; a blank text has no vector."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = V.let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))
-    return V.let(counts, lambda c: F.when(F.exists(c, lambda x: x > 0), V.normalised(c)))
+    return _bag(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), F.lit(size))
