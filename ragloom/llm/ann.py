@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-The index is fitted on a bounded sample: centroids by k-means, codebooks of the residuals' parts, and the
-number of lists to probe, such that the sample's own neighbours are found. Every row is indexed. A query
-goes to the lists whose centroids have the largest inner product with it. Lists are put together to shelves of
-bounded rows, long lists over several; a query is sent once to each shelf that holds one of its lists. There
-tables of asymmetric distances rank all rows of its lists, and the first are ranked again by their exact inner
-product. The nearest of all shelves are the result.
+The index is fitted on a bounded sample of the rows: centroids by k-means and codebooks of the residuals' parts. Every
+row is indexed, from the sample's mean and in its scale, with the error that its codes leave. A sample of the
+queries themselves tells the number of lists to probe, such that their neighbours in the sample of rows are found, and
+how much of a row's error an inner product may have. A query goes to the lists that may hold the largest inner
+products with it, by their centroids and farthest rows. Lists are put together to shelves of bounded rows, long lists
+over several; a query is sent once to each shelf that holds one of its lists. There tables of asymmetric distances rank
+all rows of its lists; the first are ranked again by their exact inner product, and so is every other row that may,
+within its error, be among the best. The nearest of all shelves are the result.
 """
 
 from __future__ import annotations
@@ -20,43 +22,77 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import stored
 from ragloom.llm.textwords import trim
 
-#: Rows of the sample that the index is fitted on, and of its queries that measure the recall of probing.
-SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 256
+#: Rows of the sample that the index is fitted on, and queries that measure the recall of probing and the error of codes.
+SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 512
 #: Lists at most and at least, dimensions of a part of the residual, and codes of a part.
 MOST_LISTS, LEAST_LISTS, PART, CODES = 4096, 8, 4, 256
-#: Recall that the probed lists must give within the sample.
-PROBE_RECALL = 0.96
+#: Recall that the probed lists must give within the sample, and share of the neighbours there whose error the margin covers.
+PROBE_RECALL, MARGIN = 0.96, 0.99
 #: Rows of a shelf, queries that meet them in one task, and rows of a shelf that are ranked exactly, as a multiple of k.
 SHELF_ROWS, SHELF_QUERIES, AGAIN = 16_384, 4_096, 16
+#: Products of a query with rows ranked exactly that are made at once.
+AT_ONCE = 4_096
 
 
 @dataclass
 class Index:
     size: int  # dimensions
+    middle: np.ndarray  # the sample's mean and scale; all below is relative to them
+    scale: float
     centroids: np.ndarray
     books: np.ndarray  # (parts, codes, PART); the last part is padded with zeros
-    probes: int
+    probes: int = 0
+    margin: float = 1.0  # share of a row's error, times the query's length, that its inner product may be off
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         pad = np.zeros((len(x), len(self.books) * PART))
         pad[:, : self.size] = x
         return pad.reshape(len(x), len(self.books), PART)
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The list and the codes of each row."""
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.middle) / self.scale
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The list and the codes of each row, what these leave of it (a length), and its distance from the list's centroid."""
+        x = self.placed(x)
         at = _nearest(x, self.centroids)
         rest = self.parts(x - self.centroids[at])
-        return at, np.stack([_nearest(rest[:, m], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, m], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+        left = rest - self.books[np.arange(len(self.books)), codes]
+        return at, codes, np.sqrt((left * left).sum((1, 2))), np.sqrt((rest * rest).sum((1, 2)))
+
+    def order(self, q: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """The lists, those first that may hold the largest inner products with each query of unit length; `reach`: distance of a list's farthest row."""
+        return np.argsort(-(q @ self.centroids.T + min(1.0, 2 / self.size**0.5) * reach), 1, kind="stable")
 
-    def probed(self, q: np.ndarray, sizes: np.ndarray, need: int) -> np.ndarray:
-        """Which lists each query goes to: the nearest ones, as many as are probed and further until they hold `need` rows."""
-        order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+    def probed(self, q: np.ndarray, sizes: np.ndarray, reach: np.ndarray, need: int) -> np.ndarray:
+        """Which lists each query goes to: the first ones, as many as are probed and further until they hold `need` rows."""
+        order = self.order(q, reach)
         before = np.cumsum(sizes[order], 1) - sizes[order]
         take = (np.arange(len(sizes)) < self.probes) | (before < need)
         out = np.zeros(order.shape, bool)
         np.put_along_axis(out, order, take, 1)
         return out
 
+    def measure(self, sample: np.ndarray, queries: np.ndarray, reach: np.ndarray, k: int) -> None:
+        """Sets probes and margin such that the queries' nearest rows in the sample are found."""
+        at, codes, error, _ = self.assign(sample)
+        held = self.placed(sample)
+        rough = self.centroids[at] + self.books[np.arange(len(self.books)), codes].reshape(len(sample), -1)[:, : self.size]
+        queries = _unit(queries)
+        near = queries @ held.T
+        nearest = np.argpartition(-near, min(k, near.shape[1] - 1), 1)[:, : k + 1]
+        place = np.argsort(self.order(queries, reach), 1)
+        needed = np.sort(np.take_along_axis(place, at[nearest], 1).ravel())
+        self.probes = int(min(len(self.centroids), needed[min(len(needed) - 1, int(np.ceil(PROBE_RECALL * len(needed))))] + 1))
+        off = np.take_along_axis(near, nearest, 1) - np.einsum("qd,qkd->qk", queries, rough[nearest])
+        self.margin = float(np.clip(np.quantile(off / np.maximum(error[nearest], 1e-12), MARGIN), 0, 1))
+
+
+def _unit(q: np.ndarray) -> np.ndarray:
+    q = q / np.abs(q).max(1)[:, None]
+    return q / np.sqrt((q * q).sum(1))[:, None]
+
 
 def _nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return (x @ to.T - 0.5 * (to * to).sum(1)).argmax(1)
@@ -73,21 +109,18 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return at
 
 
-def fit(sample: np.ndarray, rows: int, k: int) -> Index:
-    """An index for `rows` rows, from a sample of them."""
+def fit(sample: np.ndarray, rows: int) -> Index:
+    """Centroids and codebooks of an index for `rows` rows, from a sample of them."""
     lists = int(min(MOST_LISTS, max(LEAST_LISTS, np.sqrt(rows) / 4), max(1, len(sample))))
     size = sample.shape[1]
-    centroids = _kmeans(sample, lists)
-    index = Index(size, centroids, np.zeros((-(-size // PART), 1, PART)), lists)
-    at = _nearest(sample, centroids)
-    rest = index.parts(sample - centroids[at])
+    middle = (sample / len(sample)).sum(0)
+    scale = float(np.abs(sample - middle).max()) or 1.0
+    scale *= float(np.sqrt((((sample - middle) / scale) ** 2).sum(1).mean())) or 1.0
+    index = Index(size, middle, scale, np.zeros((1, size)), np.zeros((-(-size // PART), 1, PART)))
+    x = index.placed(sample)
+    index.centroids = _kmeans(x, lists)
+    rest = index.parts(x - index.centroids[_nearest(x, index.centroids)])
     index.books = np.stack([_padded(_kmeans(rest[:, m], min(CODES, len(sample)), 6)) for m in range(rest.shape[1])])
-    # lists to probe: as many as hold the neighbours of the sample's queries in the sample
-    queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    nearest = np.argsort(-(queries @ sample.T), 1)[:, : k + 1]
-    place = np.argsort(np.argsort(-(queries @ centroids.T), 1, kind="stable"), 1)
-    needed = np.sort(np.take_along_axis(place, at[nearest], 1).ravel())
-    index.probes = int(min(len(centroids), needed[min(len(needed) - 1, int(np.ceil(PROBE_RECALL * len(needed))))] + 1))
     return index
 
 
@@ -101,8 +134,8 @@ def _assigning(index: Index):
             if not len(batch):
                 continue
             x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(len(batch), index.size)
-            at, codes = index.assign(x)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "list", "codes"])
+            at, codes, error, far = index.assign(x)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far)], ["id", "v", "list", "codes", "error", "far"])
 
     return run
 
@@ -125,7 +158,7 @@ def _packing(size: int):
     return run
 
 
-def _probing(index: Index, shelves: list[list[int]], sizes: np.ndarray, need: int):
+def _probing(index: Index, shelves: list[list[int]], sizes: np.ndarray, reach: np.ndarray, need: int):
     """(q, v, shelf, lists): each query once for each shelf of its lists. shelves[list] are those that hold rows of the list."""
     held = np.zeros((max((max(x) for x in shelves if x), default=-1) + 1, len(shelves)), bool)
     for at, on in enumerate(shelves):
@@ -136,7 +169,7 @@ def _probing(index: Index, shelves: list[list[int]], sizes: np.ndarray, need: in
             if not len(batch):
                 continue
             x = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(len(batch), index.size)
-            wanted = index.probed(x, sizes, need)
+            wanted = index.probed(_unit(x), sizes, reach, need)
             row, shelf = np.nonzero(wanted.astype(np.float32) @ held.T.astype(np.float32))
             lists = [np.flatnonzero(wanted[r] & held[s]).astype(np.int32) for r, s in zip(row, shelf, strict=True)]
             take = pa.array(row)
@@ -145,6 +178,11 @@ def _probing(index: Index, shelves: list[list[int]], sizes: np.ndarray, need: in
     return run
 
 
+def _products(x: np.ndarray, pick: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the picked rows with q, some rows at a time."""
+    return np.concatenate([(x[pick[a : a + AT_ONCE]] * q).sum(1) for a in range(0, max(1, len(pick)), AT_ONCE)])
+
+
 def _searching(index: Index, k: int):
     """The k rows of a shelf nearest to each of its queries."""
 
@@ -156,6 +194,7 @@ def _searching(index: Index, k: int):
             ids = rows.column("id").to_numpy()
             x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(ids), index.size)
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            error = rows.column("error").to_numpy().astype(np.float32) * np.float32(index.margin)
             lists, of = np.unique(rows.column("list").to_numpy(), return_inverse=True)
             base = index.centroids[lists]
             q_ids, asked = queries.column("q").to_numpy(), queries.column("lists").to_pylist()
@@ -165,9 +204,10 @@ def _searching(index: Index, k: int):
             step = max(1, (1 << 21) // len(ids))
             for a in range(0, len(q), step):
                 part = q[a : a + step]
-                table = np.einsum("qmp,mcp->mqc", index.parts(part).astype(np.float32), books)
+                unit = _unit(part)
+                table = np.einsum("qmp,mcp->mqc", index.parts(unit).astype(np.float32), books)
                 probed = np.stack([np.isin(lists, x) for x in asked[a : a + step]])
-                near = np.where(probed, (part @ base.T).astype(np.float32), np.float32(-np.inf))[:, of]
+                near = np.where(probed, (unit @ base.T).astype(np.float32), np.float32(-np.inf))[:, of]
                 for m in range(codes.shape[1]):
                     near += table[m].take(codes[:, m], 1)
                 for j in range(len(part)):
@@ -179,7 +219,15 @@ def _searching(index: Index, k: int):
                     else:
                         pick = np.arange(len(ids))
                     pick = pick[near[j, pick] > -np.inf]
-                    exact = (x[pick] * part[j]).sum(1)
+                    exact = _products(x, pick, part[j])
+                    if first < len(ids) and len(pick) >= k:  # further rows that may, within their error, be as near as the last of the best
+                        last = pick[np.argsort(-exact, kind="stable")[k - 1]]
+                        more = near[j] + error >= np.float32(unit[j] @ index.placed(x[last])) - np.float32(1e-6)
+                        more[pick] = False
+                        if len(more := np.flatnonzero(more)):
+                            both = np.concatenate([pick, more])
+                            order = np.argsort(both)
+                            pick, exact = both[order], np.concatenate([exact, _products(x, more, part[j])])[order]
                     best = np.argsort(-exact, kind="stable")[:k]
                     out["q"].append(int(q_ids[a + j]))
                     out["near"].append([{"s": s, "id": i} for s, i in zip((-exact[best]).tolist(), ids[pick[best]].tolist(), strict=True)])
@@ -236,20 +284,28 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     sample = _sample(rows, many)
     if not sample:
         return spark.createDataFrame([], out_schema)
-    index = fit(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1), many, k)
+    asked = queries.mapInArrow(_packing(length["n"]), "id long, v binary")
+    tried = _sample(asked, asked.count(), SAMPLE_QUERIES)
+    if not tried:
+        return spark.createDataFrame([], out_schema)
+    sample, tried = (np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1) for x in (sample, tried))
+    index = fit(sample, many)
 
-    filed = stored(rows.mapInArrow(_assigning(index), "id long, v binary, list int, codes binary"), "ann-filed")
+    filed = stored(rows.mapInArrow(_assigning(index), "id long, v binary, list int, codes binary, error double, far double"), "ann-filed")
     lists = len(index.centroids)  # bounded, and so is what comes to the driver
-    counts = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}
+    counts, reach = {}, np.zeros(lists)
+    for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect():
+        counts[r["list"]], reach[r["list"]] = r["n"], r["far"]
+    index.measure(sample, tried, reach, k)
     shelves, sizes = _shelved(counts, lists), np.array([counts.get(j, 0) for j in range(lists)], np.int64)
     copies = filed.groupBy("id").count().agg(F.max("count")).first()[0]  # of its own id's rows a query takes none
     plan = F.broadcast(spark.createDataFrame(list(enumerate(shelves)), "list int, on array<int>"))
-    probes = queries.mapInArrow(_packing(index.size), "id long, v binary").mapInArrow(_probing(index, shelves, sizes, k + copies), "q long, v binary, shelf int, lists array<int>")
+    probes = asked.mapInArrow(_probing(index, shelves, sizes, reach, k + copies), "q long, v binary, shelf int, lists array<int>")
     probes = stored(probes, "ann-probes")
     many = F.broadcast(spark.createDataFrame([(r["shelf"], -(-r["count"] // SHELF_QUERIES)) for r in probes.groupBy("shelf").count().collect()], "shelf int, nq int"))
     own = F.get("on", F.pmod(F.xxhash64("id"), F.size("on")).cast("int"))
-    left = filed.join(plan, "list").select("id", "v", "codes", "list", own.alias("shelf")).join(many, "shelf")
-    left = left.select("id", "v", "codes", "list", "shelf", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
+    left = filed.join(plan, "list").select("id", "v", "codes", "error", "list", own.alias("shelf")).join(many, "shelf")
+    left = left.select("id", "v", "codes", "error", "list", "shelf", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"))
     right = probes.join(many, "shelf").select("q", "v", "lists", "shelf", F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("bq"))
     key = ["shelf", "bq"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searching(index, k), "q long, near array<struct<s:double,id:long>>")
