@@ -26,16 +26,30 @@ _PART = r"[^\p{L}\p{M}\p{N}_\s]+|\n+"
 
 
 def run_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(words, size, n): how often each run of 1 to `longest` syllables occurs, in lower case, apart by blanks."""
+    """(words, size, n): how often each run of 1 to `longest` syllables occurs, in lower case, apart by blanks.
+
+    Every syllable is counted once, with those after it; the shorter runs come from these counts.
+    """
     parts = docs.select(F.explode(F.split(F.lower(F.col(text_col)), _PART)).alias("_part")).select(T.tokens(F.col("_part")).alias("_w")).where(F.size("_w") > 0)
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w")))).alias("size")
-    runs = parts.select("_w", sizes).select("size", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("size") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("size")), " "))).alias("words"))
-    return runs.groupBy("words", "size").agg(F.count(F.lit(1)).alias("n"))
+    names = [f"_{k}" for k in range(longest)]
+    after = [F.slice("_w", k + 1, F.size("_w")).alias(name) for k, name in enumerate(names)]
+    counts = parts.select(F.inline(F.arrays_zip(*after))).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    first = lambda k: F.struct(F.concat_ws(" ", *names[:k]).alias("words"), F.lit(k).alias("size"), F.col(names[k - 1]).isNotNull().alias("whole"))
+    runs = counts.select("_n", F.explode(F.array(*(first(k + 1) for k in range(longest)))).alias("_r")).where("_r.whole")
+    return runs.groupBy("_r.words", "_r.size").agg(F.sum("_n").alias("n"))
+
+
+def _frequent(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """The counts of all syllables, and of longer runs that occur `least` times; the parts of such a run do as well."""
+    return lasting(run_counts(docs, text_col, longest).where((F.col("size") == 1) | (F.col("n") >= least)))
 
 
 def entries(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, least: int = LEAST, together: float = TOGETHER) -> DataFrame:
     """(words, size, n, bound): the entries of several syllables; `bound` is the least normalised information of a run's two parts."""
-    counts = lasting(run_counts(docs, text_col, longest))
+    return _entries(_frequent(docs, text_col, longest, least), least, together)
+
+
+def _entries(counts: DataFrame, least: int, together: float) -> DataFrame:
     total = F.broadcast(counts.where("size = 1").agg(F.sum("n").alias("_all")))  # one row
     long = counts.where((F.col("size") > 1) & (F.col("n") >= least)).crossJoin(total)
     split = F.split("words", " ")
@@ -100,11 +114,10 @@ class Lexicon:
 _TOKEN = re.compile(r"(\W*)(.*?)(\W*)", re.S)
 
 
-def learnt(docs: DataFrame, text_col: str = "text", most: int = MOST, **options) -> Lexicon:
+def learnt(docs: DataFrame, text_col: str = "text", most: int = MOST, longest: int = LONGEST, least: int = LEAST, together: float = TOGETHER) -> Lexicon:
     """The lexicon of a corpus: its entries of several syllables and its syllables, the `most` most frequent of each (their number bounds the model)."""
-    longest = options.get("longest", LONGEST)
-    long = entries(docs, text_col, **options)
-    single = run_counts(docs, text_col, 1)
+    counts = _frequent(docs, text_col, longest, least)
+    long, single = _entries(counts, least, together), counts.where("size = 1")
     total = single.agg(F.sum("n")).first()[0] or 0
     top = lambda df: lasting(df.select("words", "n").orderBy(F.desc("n"), "words").limit(most)).collect()  # noqa: E731 - put together in a task
     costs = {r["words"]: -math.log(r["n"] / total) for df in (single, long) for r in top(df)}
