@@ -2,8 +2,8 @@
 
 One scan counts pairs of neighbouring words in a short form; everything that is learnt comes from that table by joins
 and aggregates, down to a decision for each pair (word with a period, next word) that occurs. Texts are then cut at
-every mark that may end a sentence, the pieces take their decisions by a join, and each document's pieces are put
-together where no sentence ends. Nothing of the vocabulary passes the driver or is broadcast by hand.
+every mark that may end a sentence, the words beside a cut take their decision by a join, and each document's pieces are
+put together at the places where no sentence ends. Nothing of the vocabulary passes the driver or is broadcast by hand.
 
 After Kiss and Strunk, "Unsupervised multilingual sentence boundary detection" (2006), with these forms: words are runs
 of other than white space without quotes and brackets around them, a line end is always a border, and `!` and `?` end
@@ -24,6 +24,7 @@ from ragloom.operators.lasting import lasting
 ABBREVIATION, STARTER, COLLOCATION, OFTEN = 0.3, 30.0, 7.88, 0.99
 _OPEN, _CLOSE = "\"'([{«“‘„", "\"')]}»”’"
 _CUT, _LINE = "﷐", "﷑"  # no characters of texts
+_STOP = r"[.!?…][\"')\]}»”’]*$"
 _END = r"([.!?…][\"')\]}»”’]*) "
 
 
@@ -52,10 +53,13 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     lines = docs.select(F.explode(F.split(F.col(text_col), r"\n+")).alias("_line")).select(T.tokens(F.col("_line")).alias("_w"))
     pairs = lines.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("_w")).alias("a"), F.col("_w").alias("b"))).alias("_p")).where("_p.b is not null")
-    both = shaped(shaped(pairs.select("_p.a", "_p.b"), "a", "a_"), "b", "b_")
+    # of a word before only what may be a stop matters; then pairs as they are written are few, and are shaped once each
+    pairs = pairs.select(F.when(F.col("_p.a").rlike(_STOP), F.col("_p.a")).when(F.col("_p.a").isNotNull(), F.lit("")).alias("a"), F.col("_p.b").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n"))
+    both = shaped(shaped(pairs, "a", "a_"), "b", "b_")
     stop1 = F.when(F.col("a").isNull(), F.lit("^")).otherwise(F.col("a_stop"))
-    out = both.select(F.when(stop1 == ".", F.col("a_type")).otherwise(F.lit("")).alias("key1"), stop1.alias("stop1"), F.col("b_type").alias("type2"), F.col("b_stop").alias("stop2"), F.col("b_case").alias("case2"))
-    return out.groupBy("key1", "stop1", "type2", "stop2", "case2").agg(F.count(F.lit(1)).alias("n"))
+    out = both.select("_n", F.when(stop1 == ".", F.col("a_type")).otherwise(F.lit("")).alias("key1"), stop1.alias("stop1"), F.col("b_type").alias("type2"), F.col("b_stop").alias("stop2"), F.col("b_case").alias("case2"))
+    return out.groupBy("key1", "stop1", "type2", "stop2", "case2").agg(F.sum("_n").alias("n"))
 
 
 def _safe_log(x: Column) -> Column:
@@ -143,27 +147,31 @@ def learnt(docs: DataFrame, text_col: str = "text") -> Borders:
     return Borders(abbreviations, starters, collocations, lasting(asked.select("key1", "stop1", "type2", "case2", decided.alias("ends"))))
 
 
+def _pieces(text: Column) -> Column:
+    """A text cut at every mark that may end a sentence and at line ends; pieces that begin a line are marked."""
+    clean = F.translate(F.coalesce(text, F.lit("")), _CUT + _LINE, "")
+    marked = F.regexp_replace(T.strip(clean), rf"{T.SPACE}*\n{T.SPACE}*", _CUT + _LINE)
+    return F.split(F.regexp_replace(F.regexp_replace(marked, T.SPACE + "+", " "), _END, "$1" + _CUT), _CUT)
+
+
 def sentences(docs: DataFrame, borders: Borders, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, sentences): the sentences of each text in order, white space squeezed; empty for null and blank texts.
 
     `doc` identifies rows. Pairs that were not seen when learning end a sentence, but for known abbreviations and ellipses.
     """
-    clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), _CUT + _LINE, "")
-    marked = F.regexp_replace(T.strip(clean), rf"{T.SPACE}*\n{T.SPACE}*", _CUT + _LINE)
-    parts = F.split(F.regexp_replace(F.regexp_replace(marked, T.SPACE + "+", " "), _END, "$1" + _CUT), _CUT)
-    pieces = docs.select(F.col(doc), parts.alias("_p"))
+    pieces = docs.select(F.col(doc), _pieces(F.col(text_col)).alias("_p"))
     pieces = pieces.select(doc, F.posexplode(F.arrays_zip(F.col("_p").alias("text"), F.slice("_p", 2, F.size("_p")).alias("next")))).select(doc, "pos", "col.*")
-    line = F.coalesce(F.col("next").startswith(_LINE), F.lit(True))  # the last piece ends as well
-    pieces = pieces.select(doc, "pos", F.ltrim("text", F.lit(_LINE)).alias("text"), "next", line.alias("_line"))
-    pieces = pieces.withColumns({"_last": F.substring_index("text", " ", -1), "_first": F.substring_index("next", " ", 1)})
-    pieces = shaped(shaped(pieces, "_last", "a_"), "_first", "b_")
+    pieces = pieces.where(~F.col("next").startswith(_LINE))  # a line's last piece ends, as does the text's
+    pieces = pieces.select(doc, "pos", F.substring_index(F.ltrim("text", F.lit(_LINE)), " ", -1).alias("_last"), F.substring_index("next", " ", 1).alias("_first")).where(F.col("_last").rlike(_STOP))
+    pieces = shaped(shaped(pieces, "_last", "a_"), "_first", "b_").where(F.col("a_stop").isin(".", "e"))
     key1 = F.when(F.col("a_stop") == ".", F.col("a_type")).otherwise(F.lit(""))
-    pieces = pieces.select(doc, "pos", "text", "_line", F.col("a_stop").alias("stop1"), key1.alias("key1"), F.col("b_type").alias("type2"), F.col("b_case").alias("case2"))
-    open_ = pieces.where(~F.col("_line") & F.col("stop1").isin(".", "e"))
+    open_ = pieces.select(doc, "pos", F.col("a_stop").alias("stop1"), key1.alias("key1"), F.col("b_type").alias("type2"), F.col("b_case").alias("case2"))
     known = open_.join(borders.decisions, ["key1", "stop1", "type2", "case2"], "left").join(borders.abbreviations.select(F.col("type").alias("key1"), F.lit(True).alias("_short")), "key1", "left")
     usual = (F.col("stop1") == ".") & F.col("_short").isNull()
-    known = known.select(doc, "pos", "text", F.coalesce("ends", usual).alias("ends"))
-    rest = pieces.where(F.col("_line") | ~F.col("stop1").isin(".", "e")).select(doc, "pos", "text", F.lit(True).alias("ends"))
-    whole = known.unionByName(rest).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "ends"))).alias("_p"))
-    joined = F.array_join(F.transform("_p", lambda p: F.concat(p["text"], F.when(p["ends"], F.lit(_CUT)).otherwise(F.lit(" ")))), "")
-    return whole.select(doc, F.filter(F.transform(F.split(joined, _CUT), T.squeeze), lambda s: s != "").alias("sentences"))
+    on = known.where(~F.coalesce("ends", usual)).groupBy(F.col(doc).alias("_doc")).agg(F.array_sort(F.collect_list("pos")).alias("_on"))
+    # a flag for each piece up to the last one that goes on, so that each is looked up at its place
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("_on", i - 1))
+    on = on.select("_doc", F.flatten(F.transform("_on", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True))))).alias("_goes_on"))
+    whole = docs.select(F.col(doc), F.col(text_col).alias("_text")).join(on, F.col(doc).eqNullSafe(F.col("_doc")), "left")
+    glued = F.transform(_pieces(F.col("_text")), lambda p, i: F.concat(F.ltrim(p, F.lit(_LINE)), F.when(F.get("_goes_on", i), F.lit(" ")).otherwise(F.lit(_CUT))))
+    return whole.select(doc, F.filter(F.transform(F.split(F.array_join(glued, ""), _CUT), T.squeeze), lambda s: s != "").alias("sentences"))

@@ -1,8 +1,11 @@
-"""Steps whose cost must not grow faster than the input: counts of runs made once."""
+"""Steps whose cost must not grow faster than the input: counts of pairs and runs made once."""
 
 from collections import Counter
 
-from ragloom.operators import segmentation
+from pyspark.sql import functions as F
+
+from ragloom.operators import borders, segmentation
+from ragloom.operators.borders import _STOP
 
 
 def test_runs_are_counted_from_the_longest(spark):
@@ -16,3 +19,18 @@ def test_runs_are_counted_from_the_longest(spark):
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     kept = {(r["words"], r["size"]) for r in segmentation._frequent(docs, least=3).collect()}
     assert kept == {k for k, n in plain.items() if k[1] == 1 or n >= 3}
+
+
+def test_stops_are_never_missed(spark):
+    words = ["a", "a.", "a.)", "“A.”", "...", "…", "a..\"", "(!)", "?»", ".a", "a.b", "'.'", ".,", "!,"]
+    rows = borders.shaped(spark.createDataFrame([(w,) for w in words], "w string"), "w", "x_").withColumn("may", F.col("w").rlike(_STOP)).collect()
+    assert all(r["may"] for r in rows if r["x_stop"]) and not any(r["may"] for r in rows if r["w"] in ("a", ".a", "a.b", ".,"))
+
+
+def test_pieces_that_go_on_keep_their_places(spark):
+    texts = [(1, "Z. B. geht es.\n\nDr. Haus kam. Er blieb... und ging."), (2, None), (3, " \n "), (None, "Ein Satz. Noch einer."), (4, "x. " * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    same = docs.select("doc_id", "text").where("doc_id = 1")
+    got = {r["doc_id"]: r["sentences"] for r in borders.sentences(docs, borders.learnt(docs)).collect()}
+    assert got.keys() == {1, 2, 3, 4, None} and got[2] == got[3] == [] and got[None] == ["Ein Satz.", "Noch einer."]
+    assert " ".join(got[1]).split() == same.first()["text"].split() and " ".join(got[4]).split() == ["x."] * 3000
