@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.functions import vectors as V
+from ragloom.operators.lasting import bounded
 
 
 #: Where the second tier splits: after an end mark with white space behind it, or at line ends.
@@ -95,7 +96,7 @@ def packed_sentences(df: DataFrame, text_col: str = "text", size: int = 250, ove
     def packing(column: pd.Series) -> pd.Series:
         return column.map(lambda s: [] if s is None else pack(list(s), size, overlap, compat, length))
 
-    whole = df.withColumn("_chunks", packing(T.nonblank(T.sentences(F.col(text_col)))))
+    whole = bounded(df).withColumn("_chunks", packing(T.nonblank(T.sentences(F.col(text_col)))))
 
     def cut(chunk: Column) -> Column:
         words = T.tokens(chunk)
@@ -124,7 +125,7 @@ def packed_sentences_learnt(sentences: DataFrame, column: str = "sentences", siz
     def packing(values: pd.Series) -> pd.Series:
         return values.map(lambda s: [] if s is None else three_tiers(list(s), size, overlap, compat))
 
-    return sentences.select("*", F.posexplode(packing(F.col(column))).alias("chunk_no", "chunk")).drop(column)
+    return bounded(sentences).select("*", F.posexplode(packing(F.col(column))).alias("chunk_no", "chunk")).drop(column)
 
 
 def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int = 50) -> DataFrame:
@@ -134,7 +135,7 @@ def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int
     def packing(column: pd.Series) -> pd.Series:
         return column.map(lambda s: [] if s is None else pack(list(s), size, overlap))
 
-    return df.select("*", F.posexplode(packing(F.col(sentences_col))).alias("chunk_no", "chunk"))
+    return bounded(df).select("*", F.posexplode(packing(F.col(sentences_col))).alias("chunk_no", "chunk"))
 
 
 def character_parts(text: str, size: int = 250, overlap: int = 25, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
@@ -172,7 +173,7 @@ def semantic_parts(df: DataFrame, embed: Callable[[Column], Column], doc: str =
     are cut to `limit` tokens, the leading special one counted; None leaves them whole. A document with a sentence that
     has no embedding falls back to `character_parts`.
     """
-    rows = df.select(doc, F.posexplode(T.nonblank(T.sentences(F.col(text_col)))).alias("pos", "s"))
+    rows = bounded(df).select(doc, F.posexplode(T.nonblank(T.sentences(F.col(text_col)))).alias("pos", "s"))
     rows = rows if limit is None else rows.withColumn("s", T.truncated(F.col("s"), limit))
     at = Window.partitionBy(doc).orderBy("pos")
     near = at.rowsBetween(-buffer, buffer)

@@ -1,10 +1,10 @@
-"""Steps whose cost must not grow faster than the input: counts of pairs and runs made once."""
+"""Steps whose cost must not grow faster than the input: bounded batches, and counts of pairs and runs made once."""
 
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ragloom.operators import borders, segmentation
+from ragloom.operators import borders, chunking, lasting, segmentation
 from ragloom.operators.borders import _STOP
 
 
@@ -34,3 +34,21 @@ def test_pieces_that_go_on_keep_their_places(spark):
     got = {r["doc_id"]: r["sentences"] for r in borders.sentences(docs, borders.learnt(docs)).collect()}
     assert got.keys() == {1, 2, 3, 4, None} and got[2] == got[3] == [] and got[None] == ["Ein Satz.", "Noch einer."]
     assert " ".join(got[1]).split() == same.first()["text"].split() and " ".join(got[4]).split() == ["x."] * 3000
+
+
+def test_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 64 << 20)
+        docs = spark.range(40, numPartitions=1).select("id", F.repeat(F.lit("word "), 40_000).alias("text"))
+        chunking.packed_sentences(docs)
+        assert int(spark.conf.get(key).rstrip("b")) == lasting.BATCH_BYTES
+
+        @F.pandas_udf("long")
+        def rows(column):
+            return column.str.len() * 0 + len(column)
+
+        assert docs.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 20
+    finally:
+        spark.conf.set(key, before)
