@@ -1,4 +1,4 @@
-"""Steps whose cost must not grow faster than the input: bounded batches, and counts of pairs and runs made once."""
+"""Steps whose cost must not grow faster than the input: bounded batches, and counts of runs made once."""
 
 from collections import Counter
 
