@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ragloom.operators import borders, chunking, lasting, segmentation
+from conftest import rows
+from ragloom.operators import borders, chunking, encoder, lasting, retrieval, segmentation
 from ragloom.operators.borders import _STOP
 
 
@@ -52,3 +54,33 @@ def test_batches_are_bounded(spark):
         assert docs.select(rows("text").alias("n")).agg(F.max("n")).first()[0] <= 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_are_split_once_for_an_encoder_and_its_vectors(spark, monkeypatch):
+    texts = [(1, "Haus haus_2 baum, Ärger!"), (2, None), (3, " "), (4, "ÉTÉ d'été İzmir"), (5, "haus baum haus"), (None, "baum ?")] + [(10 + i, f"wort{i % 7} haus {i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    seen: Counter = Counter()
+    for _, t in texts:
+        seen.update(encoder.words(t).keys())
+    assert {r["term"]: r["n"] for r in encoder.term_counts(docs).collect()} == seen
+    read, split = [], encoder.counted
+    monkeypatch.setattr(encoder, "counted", lambda *a: read.append(1) or split(*a))
+    found = {r["id"]: r["vec"] for r in encoder.embedded(docs, "id", size=8).collect()}
+    assert len(read) == 1
+    model = encoder.learnt(docs, size=8)
+    wanted = {i: v for i, t in texts if (v := model.vector(t)) is not None}
+    assert found.keys() == wanted.keys() and all(np.abs(np.array(found[i]) - v).max() < 1e-6 for i, v in wanted.items())
+    assert encoder.embedded(docs.where("id in (2, 3)"), "id").count() == 0
+
+
+def test_tasks_send_no_more_than_the_best(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(3000, 6)))], "id long, vec array<double>").repartition(2)
+    asked = frame.where("id % 30 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
+    schema, part = "query long, id long, score double", asked.toArrow()
+    monkeypatch.setattr(retrieval, "SCORES", 6400)
+    assert frame.mapInArrow(retrieval._scanning(part, 5, (), True), schema).count() == 100 * 5 * 2
+    monkeypatch.setattr(retrieval, "PAIRS", 300)
+    assert frame.mapInArrow(retrieval._scanning(part, 5, (), True), schema).count() >= 100 * 5 * 2
+    wanted = rows(retrieval.top_k(asked, frame, 5, skip_self=True))
+    assert rows(retrieval.top_k_blocks(asked, frame, 5, skip_self=True)) == rows(retrieval.top_k_blocks(asked, frame, 5, skip_self=True, few=2000)) == wanted
