@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,3 +196,76 @@ def semantic_parts(df: DataFrame, embed: Callable[[Column], Column], doc: str =
     cut = parts.withColumn("cut", fallback(F.when(F.col("failed"), F.col("text"))))
     cut = cut.select(doc, F.col("part").alias("first"), F.posexplode(F.coalesce("cut", F.array("text"))).alias("i", "text"))
     return cut.select(doc, (F.col("first") + F.col("i")).cast("long").alias("part"), "text")
+
+
+#: Sentences whose vectors a task holds at once.
+AT_ONCE = 1 << 13
+
+
+def _distances(places: np.ndarray, many: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, buffer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sentence, its distance from the one before and whether it and its neighbours hold no place at all.
+
+    `many` are the places of a sentence, `first` and `last` the ends of its document. All is added up in the order in
+    which `V.cosine` adds.
+    """
+    n = len(many)
+    out, none, ends = np.zeros(n), np.zeros(n, bool), np.concatenate([[0], np.cumsum(many)])
+    for a in range(0, n, AT_ONCE):
+        b = min(a + AT_ONCE, n)
+        own = np.arange(max(a - 1, 0), b)
+        left, right = np.maximum(own - buffer, first[own]), np.minimum(own + buffer + 1, last[own])
+        lo, hi = int(left.min()), int(right.max())
+        counts = np.bincount(np.repeat(np.arange(hi - lo), many[lo:hi]) * size + places[ends[lo] : ends[hi]], minlength=(hi - lo) * size).reshape(-1, size)
+        total = np.concatenate([np.zeros((1, size), np.int64), np.cumsum(counts, 0)])
+        near = (total[right - lo] - total[left - lo]).T.astype(float)
+        squares = (near * near).sum(0)
+        unit = near / np.sqrt(np.maximum(squares, 1))
+        dots, norms = np.zeros(len(own) - 1), np.zeros(len(own))
+        for x in unit:
+            dots += x[:-1] * x[1:]
+            norms += x * x
+        norms = np.sqrt(norms)
+        out[own[1:]] = 1 - dots / np.maximum(norms[:-1] * norms[1:], 1e-12)
+        none[own] = squares == 0
+    return out, none
+
+
+def _percentile(values: np.ndarray, share: float) -> float:
+    """As Spark's exact percentile."""
+    values, at = np.sort(values), (len(values) - 1) * share
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
+def semantic_parts_counted(df: DataFrame, places: Callable[[Column, int], Column], size: int = 64, doc: str = "doc_id", text_col: str = "text", percentile: float = 0.95, limit: int | None = 250, buffer: int = 1) -> DataFrame:
+    """As `semantic_parts`, by an embedding that counts the places (0 to `size` - 1) which `places` gives a text's words.
+
+    The counts of a sentence and its neighbours add up, so every sentence is looked at once, and a row of `df` is cut as
+    a whole where it is read, without a shuffle. Rows that share an id are documents of their own.
+    """
+    parts = T.nonblank(T.sentences(F.col(text_col)))
+    parts = parts if limit is None else F.transform(parts, lambda s: T.truncated(s, limit))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column("s"), batch.column("p").flatten()
+            lengths = texts.value_lengths().fill_null(0).to_numpy()
+            ends = np.cumsum(lengths)
+            d, none = _distances(found.flatten().to_numpy(), found.value_lengths().to_numpy(), np.repeat(ends - lengths, lengths), np.repeat(ends, lengths), size, buffer)
+            row, part, text = [], [], []
+            for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+                own = texts[k].as_py() or []
+                if none[a:b].any():
+                    new = character_parts(" ".join(own))
+                else:
+                    at = np.flatnonzero(d[a + 1 : b] > _percentile(d[a + 1 : b], percentile)) + 1 if b - a > 1 else []
+                    starts = [0, *at, b - a] if own else []
+                    new = [" ".join(own[i:j]) for i, j in zip(starts, starts[1:])]
+                row += [k] * len(new)
+                part += range(len(new))
+                text += new
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row, pa.int64())), pa.array(part, pa.int64()), pa.array(text, pa.string())], [doc, "part", "text"])
+
+    rows = bounded(df).select(F.col(doc).alias("doc"), parts.alias("s"))
+    rows = rows.select("doc", "s", F.transform("s", lambda s: places(s, size)).alias("p"))
+    return rows.mapInArrow(cut, f"`{doc}` {df.schema[doc].dataType.simpleString()}, part long, text string")

@@ -138,7 +138,12 @@ def _bag(places: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def hashed_places(text: Column, size: int = 64) -> Column:
+    """The place of each word in the vector of the offline encoder."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """The offline encoder: a bag of hashed words, of unit length; a blank text has no vector."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return _bag(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), F.lit(size))
+    return _bag(hashed_places(text, size), F.lit(size))

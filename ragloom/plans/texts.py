@@ -163,7 +163,7 @@ def sentence_pack(spark, d):
 
 @query(None)
 def semantic_parts(spark, d):
-    return K.semantic_parts(table(spark, d, "documents").select("doc_id", "text"), Q.hashed_embedding, limit=None)
+    return K.semantic_parts_counted(table(spark, d, "documents").select("doc_id", "text"), Q.hashed_places, limit=None)
 
 
 _TYPE = rf"""CASE WHEN regexp_matches(base, '^[-+]?[.,]?[0-9][0-9.,:%/-]*$') THEN '##' ELSE base END"""

@@ -5,9 +5,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import rows
-from ragloom.operators import borders, chunking, encoder, lasting, retrieval, segmentation
+from conftest import SF, rows
+from ragloom.operators import borders, chunking, encoder, lasting, qa, retrieval, segmentation
 from ragloom.operators.borders import _STOP
+from ragloom.plans import registry
 
 
 def test_runs_are_counted_from_the_longest(spark):
@@ -84,3 +85,19 @@ def test_tasks_send_no_more_than_the_best(spark, monkeypatch):
     assert frame.mapInArrow(retrieval._scanning(part, 5, (), True), schema).count() >= 100 * 5 * 2
     wanted = rows(retrieval.top_k(asked, frame, 5, skip_self=True))
     assert rows(retrieval.top_k_blocks(asked, frame, 5, skip_self=True)) == rows(retrieval.top_k_blocks(asked, frame, 5, skip_self=True, few=2000)) == wanted
+
+
+def test_meaning_breaks_without_a_shuffle(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    made = [" ".join(" ".join(f"w{x}" for x in draw.integers(0, 30, draw.integers(1, 9))) + ". " for _ in range(n)) for n in (1, 2, 3, 21, 22, 80)]
+    texts = [*enumerate([*made, None, "", " \n ", "Ein Satz.\n???\nNoch einer. " + "wort " * 80, "same. " * 40, "a. b. a. b."])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    places = lambda t, size: qa.hashed_places(F.regexp_replace(t, "[?.]", ""), size)
+    monkeypatch.setattr(chunking, "AT_ONCE", 7)
+    for options in ({}, {"buffer": 0, "limit": None}, {"buffer": 2, "limit": 4, "percentile": 0.5}):
+        wanted = chunking.semantic_parts(docs, lambda t: qa._bag(places(t, 64), F.lit(64)), **options)
+        found = chunking.semantic_parts_counted(docs, places, **options)
+        assert rows(found) == rows(wanted) and found.columns == wanted.columns
+    twice = rows(chunking.semantic_parts_counted(docs.union(docs), places))
+    assert twice == sorted(2 * rows(chunking.semantic_parts_counted(docs, places)))
+    assert "Exchange" not in registry.QUERIES["semantic_parts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
