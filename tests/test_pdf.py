@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ragloom.plans import registry
 from ragloom.sources import pdf
 from ragloom.sources.pdf_writer import written
 
@@ -100,3 +101,12 @@ def test_tables_and_texts(spark):
     long = written([{"lines": [" ".join(f"w{k}" for k in range(a, a + 10)) for a in range(0, 600, 10)]}], packed=True)
     found = lines_of(spark, [("long", long)])
     assert [found["long", 1, k].split()[0] for k in range(len(found))] == ["w0", "w225", "w450"]
+
+
+def test_the_query_reads_files_of_any_number_of_pages(spark, tmp_path):
+    docs = [(1, " ".join(f"w{k}" for k in range(4500)), "en", "web", 5), (7, " ".join(f"v{k}" for k in range(8100)), None, "web", 6), (10, "short", "en", None, 7)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["pdf_pages"](spark, str(tmp_path)).collect()
+    assert all(r["error"] is None and r["digest"] is not None for r in found)
+    pages = {i: sorted({r["page"] for r in found if r["doc_id"] == i}) for i in (1, 7, 10)}
+    assert pages == {1: [*range(1, 14)], 7: [*range(1, 23)], 10: [1, 2]}
