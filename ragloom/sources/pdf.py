@@ -8,11 +8,14 @@ runs on one height, tables are islands of rules, a cell is where a run lies betw
 from __future__ import annotations
 
 import base64
+import binascii
+import operator
 import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +59,13 @@ _WORD = re.compile(rb"[^" + _SPACE + _DELIM + rb"]+")
 _NAME = re.compile(rb"/[^" + _SPACE + _DELIM + rb"]*")
 _HEX = re.compile(rb"<([0-9A-Fa-f" + _SPACE + rb"]*)>")
 _BODY = re.compile(rb"[" + _SPACE + rb"]*stream\r?\n")
+_BODY_END = re.compile(rb"[" + _SPACE + rb"]*endstream")
+_OCTAL = re.compile(rb"[0-7]{1,3}")
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,10})[" + _SPACE + rb"]+\d{1,5}[" + _SPACE + rb"]+obj")
 _ESCAPES = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
+#: Blanks and comments, then the commonest values at one go: a string of hexadecimal digits, a reference, a number, a name, a word.
+_VALUE = rb"(?:[" + _SPACE + rb"]++|%[^\r\n]*+)*+(?:<([0-9A-Fa-f]*)>|%b|(" + _NUMBER.pattern + rb")|(" + _NAME.pattern + rb")|(" + _WORD.pattern + rb"))"
+_VALUES = {refs: re.compile(_VALUE.replace(b"%b", _REF.pattern if refs else b"((?!))")) for refs in (True, False)}
 
 
 def _literal(raw: bytes, at: int) -> tuple[bytes, int]:
@@ -70,7 +78,7 @@ def _literal(raw: bytes, at: int) -> tuple[bytes, int]:
             c = raw[at]
             at += 1
             if 48 <= c <= 55:
-                digits = re.compile(rb"[0-7]{1,3}").match(raw, at - 1).group()
+                digits = _OCTAL.match(raw, at - 1).group()
                 out.append(int(digits, 8) & 255)
                 at += len(digits) - 1
             elif c in (10, 13):
@@ -85,8 +93,27 @@ def _literal(raw: bytes, at: int) -> tuple[bytes, int]:
     raise ValueError("a string does not end")
 
 
+@lru_cache(4096)
+def _name(raw: bytes) -> Name:
+    return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x.group(1), 16)]), raw[1:]).decode("latin-1"))
+
+
+@lru_cache(4096)
+def _word(raw: bytes) -> object:
+    word = raw.decode("latin-1")
+    return {"true": True, "false": False, "null": None}.get(word, Op(word))
+
+
 def parsed(raw: bytes, at: int = 0, refs: bool = True) -> tuple[object, int]:
     """(the value at a place, the place behind it); at the end of the bytes, (None, -1)."""
+    if m := _VALUES[refs].match(raw, at):
+        kind = m.lastindex
+        found = m.group(kind)
+        if kind == 1:
+            return binascii.unhexlify(found + b"0" if len(found) % 2 else found), m.end()
+        if kind == 3:
+            return (float(found) if b"." in found else int(found)), m.end()
+        return (_word(found) if kind == 5 else _name(found) if kind == 4 else Ref(found)), m.end()
     at = _SKIP.match(raw, at).end()
     if at >= len(raw):
         return None, -1
@@ -108,16 +135,6 @@ def parsed(raw: bytes, at: int = 0, refs: bool = True) -> tuple[object, int]:
     if raw[at] == 60 and (m := _HEX.match(raw, at)):
         digits = re.sub(rb"[" + _SPACE + rb"]", b"", m.group(1))
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), m.end()
-    if raw[at] == 47:
-        m = _NAME.match(raw, at)
-        return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x.group(1), 16)]), m.group()[1:]).decode("latin-1")), m.end()
-    if refs and (m := _REF.match(raw, at)):
-        return Ref(m.group(1)), m.end()
-    if m := _NUMBER.match(raw, at):
-        return (float(m.group()) if b"." in m.group() else int(m.group())), m.end()
-    if m := _WORD.match(raw, at):
-        word = m.group().decode("latin-1")
-        return {"true": True, "false": False, "null": None}.get(word, Op(word)), m.end()
     return Op(chr(raw[at])), at + 1
 
 
@@ -145,7 +162,7 @@ class File:
     """The objects of a file; where its tables of them are damaged, whatever objects are found."""
 
     def __init__(self, raw: bytes):
-        self.raw, self.places, self.kept, self.trailer = raw, {}, {}, {}
+        self.raw, self.places, self.kept, self.packs, self.trailer = raw, {}, {}, {}, {}
         try:
             self._tables(int(re.findall(rb"startxref[" + _SPACE + rb"]+(\d+)", raw[-2048:])[-1]))
             if not isinstance(self.get(self.get(self.trailer["Root"])["Pages"]), dict):
@@ -192,7 +209,7 @@ class File:
             at = int(trailer["Prev"])
 
     def _search(self) -> None:
-        self.places, self.kept = {int(m.group(1)): m.start() for m in _OBJECT.finditer(self.raw)}, {}
+        self.places, self.kept, self.packs = {int(m.group(1)): m.start() for m in _OBJECT.finditer(self.raw)}, {}, {}
         for n in list(self.places):
             try:
                 value = self.get(Ref(n))
@@ -220,7 +237,7 @@ class File:
             out = Stream(value)
             size = self.get(value.get("Length"))
             end = m.end() + size if isinstance(size, int) else -1
-            if not re.compile(rb"[" + _SPACE + rb"]*endstream").match(self.raw, end if 0 <= end <= len(self.raw) else len(self.raw)):
+            if not _BODY_END.match(self.raw, end if 0 <= end <= len(self.raw) else len(self.raw)):
                 end = self.raw.find(b"endstream", m.end())
                 end = len(self.raw) if end < 0 else end
             out.raw = self.raw[m.end() : end]
@@ -243,7 +260,9 @@ class File:
             if n not in self.kept:
                 place = self.places.get(n)
                 if isinstance(place, tuple):
-                    _, starts, data = self._packed(self.get(Ref(place[0])))
+                    if place[0] not in self.packs:
+                        self.packs[place[0]] = self._packed(self.get(Ref(place[0])))
+                    _, starts, data = self.packs[place[0]]
                     self.kept[n] = parsed(data, starts[place[1]])[0]
                 else:
                     self.kept[n] = None if place is None else self._at(place)
@@ -307,6 +326,25 @@ def glyph(name: str) -> str:
     return unicodedata.normalize("NFC", name[0] + _ACCENTS[name[1:]]) if name[1:] in _ACCENTS else ""
 
 
+class _Chars(dict):
+    """Characters of codes; none for others."""
+
+    def __missing__(self, code: int) -> str:
+        return ""
+
+
+class _Steps(dict):
+    """How far each code goes on along the line, worked out when it first comes."""
+
+    def __init__(self, step):
+        super().__init__()
+        self.step = step
+
+    def __missing__(self, code: int) -> float:
+        out = self[code] = self.step(code)
+        return out
+
+
 class Font:
     """Codes of a font's strings as characters and widths."""
 
@@ -338,13 +376,20 @@ class Font:
                 else:
                     at = x
             self.known = table | self.known
+        self.known, self._set, self._steps = _Chars(self.known), None, None
 
     @staticmethod
     def _unicode(cmap: bytes) -> tuple[dict[int, str], set[int]]:
         """(characters of codes, lengths of codes) of a mapping to Unicode."""
         out, sizes, held, at, inside = {}, set(), [], 0, ""
         char = lambda b: b.decode("utf-16-be", "replace")
+        match = _VALUES[False].match
         while True:
+            if (m := match(cmap, at)) and m.lastindex == 1:
+                found, at = m.group(1), m.end()
+                if inside.startswith("begin"):
+                    held.append(binascii.unhexlify(found + b"0" if len(found) % 2 else found))
+                continue
             value, at = parsed(cmap, at, refs=False)
             if at < 0:
                 return out, sizes
@@ -363,14 +408,17 @@ class Font:
             elif inside.startswith("begin"):
                 held.append(value)
 
-    def read(self, raw: bytes) -> Iterator[tuple[str, float, bool]]:
-        """(character, width in thousandths, whether word spacing applies) of each code."""
-        if self.wide and self.sizes != {1}:
-            for code in struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]):
-                yield self.known.get(code, ""), float(self.widths.get(code, self.usual)), False
-        else:
-            for code in raw:
-                yield self.known.get(code, ""), float(self.widths.get(code, self.usual)), code == 32
+    def codes(self, raw: bytes) -> Sequence[int]:
+        """The codes of a string."""
+        return struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2]) if self.wide and self.sizes != {1} else raw
+
+    def steps(self, size: float, apart: float, blank: float, across: float) -> _Steps:
+        """How far codes go on at a text size, with spaces after characters and (codes of one byte) blanks, and a scale."""
+        if self._set != (size, apart, blank, across):
+            one = not self.wide or self.sizes == {1}
+            self._set = size, apart, blank, across
+            self._steps = _Steps(lambda code: (float(self.widths.get(code, self.usual)) / 1000 * size + apart + blank * (one and code == 32)) * across)
+        return self._steps
 
 
 # ---- content
@@ -384,6 +432,12 @@ def _times(m: tuple, n: tuple) -> tuple:
     return a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o
 
 
+def _moved(m: tuple, x: float, y: float) -> tuple:
+    """As _times of a shift and `m`."""
+    a, b, c, d, e, f = m
+    return a, b, c, d, x * a + y * c + e, x * b + y * d + f
+
+
 def _put(m: tuple, x: float, y: float) -> tuple[float, float]:
     return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
 
@@ -391,16 +445,17 @@ def _put(m: tuple, x: float, y: float) -> tuple[float, float]:
 class Marks:
     """The marks that content streams leave: (kind, x, y, x1, y1, size, text), kinds `text` and `rule`."""
 
-    def __init__(self, file: File):
-        self.file, self.out, self.fonts = file, [], {}
+    def __init__(self, file: File, fonts: dict | None = None):
+        """`fonts`: those that other pages of the file have read, and where this one's are kept."""
+        self.file, self.out, self.fonts = file, [], {} if fonts is None else fonts
 
     def _font(self, resources: dict, name: str) -> Font:
         fonts = self.file.get(resources.get("Font")) or {}
-        ref = fonts.get(name)
-        key = (id(fonts), name)
+        entry = self.file.get(fonts.get(name)) or {}
+        key = id(entry) if entry else None
         if key not in self.fonts:
-            self.fonts[key] = Font(self.file, self.file.get(ref) or {})
-        return self.fonts[key]
+            self.fonts[key] = Font(self.file, entry), entry  # kept with its entry, so that no other gets its id
+        return self.fonts[key][0]
 
     def _rules(self, shapes: list, stroke: bool) -> None:
         for box, points in shapes:
@@ -423,31 +478,40 @@ class Marks:
             nonlocal place
             if state["font"] is None:
                 return
-            text, size, begin = [], state["size"], None
-            along = 0.0
+            font, text, size, begin = state["font"], [], state["size"], None
+            along, steps = 0.0, font.steps(size, state["Tc"], state["Tw"], state["Tz"])
             for part in parts:
                 if isinstance(part, bytes):
-                    begin = _times((1, 0, 0, 1, along, 0), place) if begin is None else begin
-                    for char, width, blank in state["font"].read(part):
-                        text.append(char)
-                        along += (width / 1000 * size + state["Tc"] + state["Tw"] * blank) * state["Tz"]
+                    begin = _moved(place, along, 0) if begin is None else begin
+                    codes = font.codes(part)
+                    text += map(font.known.__getitem__, codes)
+                    along = reduce(operator.add, map(steps.__getitem__, codes), along)
                 elif isinstance(part, (int, float)):
                     if -part / 1000 > GAP and text and not text[-1].endswith(" "):
                         text.append(" ")
                     along -= part / 1000 * size * state["Tz"]
-            place = _times((1, 0, 0, 1, along, 0), place)
+            place = _moved(place, along, 0)
             if begin is not None and "".join(text).strip("\0"):
-                m, n = _times((1, 0, 0, 1, 0, state["Ts"]), _times(begin, state["ctm"])), _times(place, state["ctm"])
+                m, n = _moved(_times(begin, state["ctm"]), 0, state["Ts"]), _put(state["ctm"], place[4], place[5])
                 tall = abs(size) * (m[2] ** 2 + m[3] ** 2) ** 0.5
-                self.out.append(("text", m[4], m[5], n[4], n[5], tall, "".join(text)))
+                self.out.append(("text", m[4], m[5], *n, tall, "".join(text)))
 
+        match = _VALUES[False].match
         while True:
-            value, at = parsed(data, at, refs=False)
+            if (m := match(data, at)) and m.lastindex == 1:  # a string of digits, the commonest by far
+                found, at = m.group(1), m.end()
+                held.append(binascii.unhexlify(found + b"0" if len(found) % 2 else found))
+                continue
+            value, at = (_word(m.group(5)), m.end()) if m and m.lastindex == 5 else parsed(data, at, refs=False)
             if at < 0:
                 return
             if not isinstance(value, Op):
                 held.append(value)
                 continue
+            if value == "Tj":
+                show(held[-1:])
+                held = []
+                continue
             n = [x for x in held if isinstance(x, (int, float))]
             if value == "q":
                 saved.append(dict(state))
@@ -465,17 +529,15 @@ class Marks:
                 state["Tz"] = n[0] / 100
             elif value in ("Td", "TD") and len(n) == 2:
                 state["TL"] = -n[1] if value == "TD" else state["TL"]
-                line = place = _times((1, 0, 0, 1, *n), line)
+                line = place = _moved(line, *n)
             elif value == "Tm" and len(n) == 6:
                 line = place = tuple(n)
             elif value in ("T*", "'", '"'):
                 if value == '"' and len(n) >= 2:
                     state["Tw"], state["Tc"] = n[:2]
-                line = place = _times((1, 0, 0, 1, 0, -state["TL"]), line)
+                line = place = _moved(line, 0, -state["TL"])
                 if value != "T*":
                     show(held[-1:])
-            elif value == "Tj":
-                show(held[-1:])
             elif value == "TJ" and held and isinstance(held[-1], list):
                 show(held[-1])
             elif value == "m" and len(n) == 2:
@@ -505,11 +567,11 @@ class Marks:
 
 def marks(raw: bytes) -> list[list[tuple]]:
     """The marks of each page of a file."""
-    file, out = File(raw), []
+    file, out, fonts = File(raw), [], {}
     for page in file.pages():
         found = file.get(page.get("Contents"))
         parts = [file.data(s) for x in (found if isinstance(found, list) else [found]) if isinstance(s := file.get(x), Stream)]
-        one = Marks(file)
+        one = Marks(file, fonts)
         one.run(b"\n".join(parts), file.get(page.get("Resources")) or {})
         out.append(one.out)
     return out
@@ -519,6 +581,9 @@ def marks(raw: bytes) -> list[list[tuple]]:
 
 _PLACED = "page int, n_pages int, error string, kind string, seq int, x double, y double, x1 double, y1 double, size double, text string"
 
+#: Marks of an Arrow batch to Spark: files are put together until they have so many.
+_ROWS = 1 << 12
+
 
 def placed(files: DataFrame, key: str, content: str = "content", max_pages: int | None = MAX_PAGES) -> DataFrame:
     """A row a mark, and one of kind `page` a page: the file's key, page (from 1), n_pages, kind, seq, place, size, text.
@@ -542,34 +607,51 @@ def placed(files: DataFrame, key: str, content: str = "content", max_pages: int
         except Exception as e:  # noqa: BLE001 - one bad file is not the others' failure
             yield (None, None, f"{e}" or type(e).__name__, "error", -1, *empty)
 
+    kinds = [pa.int32() if j in (0, 1, 4) else pa.string() if j in (2, 3, 10) else pa.float64() for j in range(len(names))]
+
     def run(batches):
         for batch in batches:
+            found, of = [], []
             for k in range(batch.num_rows):
-                found = list(rows(batch.column("content")[k].as_py()))
-                keys = pa.array([batch.column("file")[k]] * len(found), batch.column("file").type)
-                columns = [pa.array([r[j] for r in found], pa.int32() if j in (0, 1, 4) else pa.string() if j in (2, 3, 10) else pa.float64()) for j in range(len(names))]
-                yield pa.RecordBatch.from_arrays([keys, *columns], schema.names)
+                found += rows(batch.column("content")[k].as_py())
+                of += [k] * (len(found) - len(of))
+                if found and (len(found) >= _ROWS or k + 1 == batch.num_rows):
+                    columns = map(pa.array, zip(*found, strict=True), kinds)
+                    yield pa.RecordBatch.from_arrays([batch.column("file").take(pa.array(of, pa.int64())), *columns], schema.names)
+                    found, of = [], []
 
     return part.mapInArrow(run, schema).withColumnRenamed("file", key)
 
 
-def _joined(runs: DataFrame, by: list[str]) -> DataFrame:
-    """`text` of each group of runs: islands of one height are lines, a gap within a line is a blank, lines are apart by line ends."""
-    down = Window.partitionBy(*by).orderBy(F.desc("y"), "seq")
-    lines = runs.withColumn("_new", F.coalesce((F.lag("y").over(down) - F.col("y") > NEAR).cast("int"), F.lit(1))).withColumn("_line", F.sum("_new").over(down))
-    along = Window.partitionBy(*by, "_line").orderBy("x", "seq")
-    gap = F.col("x") - F.lag("x1").over(along)
-    text = F.concat(F.when(gap > GAP * F.col("size"), F.lit(" ")).otherwise(F.lit("")), F.col("text"))
-    spaced = lines.withColumn("text", text)
-    parts = lambda x, by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col("text").alias("_t")))), lambda s: s["_t"])
-    whole = spaced.groupBy(*by, "_line").agg(F.array_join(parts("text", ["x", "seq"]), "").alias("text"))
-    return whole.groupBy(*by).agg(F.array_join(parts("text", ["_line"]), "\n").alias("text"))
+def _joined(runs: Column) -> Column:
+    """The text of an array of runs: islands of one height are lines, a gap within a line is a blank, lines are apart by line ends."""
+    return F.array_join(F.transform(_islands(runs), _spaced), "\n")
+
+
+def _islands(runs: Column) -> Column:
+    """The lines of runs that come from the top down, each an array of runs from the left."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (F.get(runs, i - 1)["y"] - F.get(runs, i)["y"] > NEAR))
+    ends = lambda a: F.zip_with(a, F.slice(a, F.lit(2), F.size(a)), lambda i, j: F.struct(i.alias("i"), F.coalesce(j, F.size(runs)).alias("j")))
+    spans = F.flatten(F.transform(F.array(starts), ends))  # by a lambda, so that the starts are found once
+    along = lambda r: F.struct(r["x"].alias("x"), r["seq"].alias("seq"), r["x1"].alias("x1"), r["size"].alias("size"), r["text"].alias("text"))
+    return F.transform(spans, lambda s: F.array_sort(F.transform(F.slice(runs, s["i"] + 1, s["j"] - s["i"]), along)))
+
+
+def _spaced(line: Column) -> Column:
+    gap = lambda r, i: r["x"] - F.get(line, i - 1)["x1"] > GAP * r["size"]
+    return F.array_join(F.transform(line, lambda r, i: F.concat(F.when(gap(r, i), F.lit(" ")).otherwise(F.lit("")), r["text"])), "")
+
+
+def _collected(when: Column | None = None) -> Column:
+    """The runs of a group from the top down, of one height as they come in the file."""
+    run = F.struct("y", (-F.col("seq")).alias("back"), "x", "seq", "x1", "size", "text")
+    return F.sort_array(F.collect_list(run if when is None else F.when(when, run)), asc=False)
 
 
 def page_texts(placed_: DataFrame, key: str) -> DataFrame:
     """(key, page, text) of every page, empty where it has no text."""
-    text = _joined(placed_.where("kind = 'text'"), [key, "page"])
-    return placed_.where("kind = 'page'").select(key, "page").join(text, [key, "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    runs = placed_.where("kind in ('text', 'page')").groupBy(key, "page").agg(_collected(F.col("kind") == "text").alias("_runs"))
+    return runs.select(key, "page", F.when(F.size("_runs") > 0, _joined(F.col("_runs"))).otherwise("").alias("text"))
 
 
 def page_tables(placed_: DataFrame, key: str) -> DataFrame:
@@ -591,7 +673,7 @@ def page_tables(placed_: DataFrame, key: str) -> DataFrame:
     runs = placed_.where("kind = 'text'").join(grid, [key, "page"])
     runs = runs.withColumn("_c", F.size(F.filter("xs", lambda v: v <= middle))).withColumn("_r", F.size(F.filter("ys", lambda v: v > height)))
     inside = (F.col("_c") > 0) & (F.col("_c") < F.size("xs")) & (F.col("_r") > 0) & (F.col("_r") < F.size("ys"))
-    cells = _joined(runs.where(inside), [key, "page", "_r", "_c"])
+    cells = runs.where(inside).groupBy(key, "page", "_r", "_c").agg(_collected().alias("_runs")).select(key, "page", "_r", "_c", _joined(F.col("_runs")).alias("text"))
     found = cells.groupBy(key, "page").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_r", "_c"), F.col("text")))).alias("at"))
     at = lambda r, c: F.try_element_at(F.col("at"), F.struct(r.alias("_r"), c.alias("_c")))
     rows = F.transform(F.sequence(F.lit(1), F.size("ys") - 1), lambda r: F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda c: at(r, c)))
@@ -613,10 +695,10 @@ def lines(placed_: DataFrame, key: str, size: int = WINDOW, overlap: int = OVERL
     Pages without text have no rows; a file that failed has one, with its error.
     """
     texts, tables = page_texts(placed_, key), page_tables(placed_, key)
-    words = X.tokens(F.col("text"))
+    words = F.col("_words")
     windows = F.transform(window_starts(F.size(words), size, overlap), lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
     valid = (F.size("cells") > 1) & (F.size(F.element_at("cells", 1)) > 1)
-    both = texts.join(tables, [key, "page"], "left")
+    both = texts.select(key, "page", X.tokens(F.col("text")).alias("_words")).join(tables, [key, "page"], "left")  # split once, not for each window
     good = both.select(key, "page", F.posexplode(F.when(valid, row_texts(F.col("cells"))).otherwise(windows)).alias("line_no", "line"))
     failed = placed_.where("error is not null").select(key, F.lit(None).cast("int").alias("page"), F.lit(0).alias("line_no"), F.lit(None).cast("string").alias("line"), "error")
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(failed)

@@ -1,6 +1,7 @@
 """The PDF reader on hand-made files: objects, filters, fonts, tables from rules, damaged files, page limits."""
 
 import base64
+import random
 import zlib
 
 import pytest
@@ -110,3 +111,41 @@ def test_the_query_reads_files_of_any_number_of_pages(spark, tmp_path):
     assert all(r["error"] is None and r["digest"] is not None for r in found)
     pages = {i: sorted({r["page"] for r in found if r["doc_id"] == i}) for i in (1, 7, 10)}
     assert pages == {1: [*range(1, 14)], 7: [*range(1, 23)], 10: [1, 2]}
+
+
+def test_fonts_and_packed_objects_are_read_once_a_file(monkeypatch):
+    fonts, packs = [], []
+    font, packed = pdf.Font.__init__, pdf.File._packed
+    monkeypatch.setattr(pdf.Font, "__init__", lambda *a: fonts.append(1) or font(*a))
+    monkeypatch.setattr(pdf.File, "_packed", lambda *a: packs.append(1) or packed(*a))
+    raw = written([{"lines": [f"page {k}"]} for k in range(30)], packed=True)
+    assert [[m[6] for m in page] for page in pdf.marks(raw)] == [[f"page {k}"] for k in range(30)]
+    assert len(fonts) == len(packs) == 1
+
+
+def test_pages_of_fonts_of_one_name_keep_their_own():
+    kinds = [b"<< /Type /Font /Encoding << /Differences [65 /%s] >> >>" % n for n in (b"one", b"two")]
+    page = lambda k, at: b"<< /Type /Page /Contents %d 0 R /Resources << /Font << /F %s >> >> >>" % (at, k)
+    raw = made({1: PAGES[1], 2: b"<< /Type /Pages /Kids [3 0 R 4 0 R 9 0 R] >>", 3: page(kinds[0], 5), 4: page(kinds[1], 5), 9: page(b"8 0 R", 5), 8: kinds[1], 5: stream(b"BT /F 10 Tf 1 0 0 1 5 5 Tm (AB) Tj /G 8 Tf (AB) Tj ET")})
+    assert [[t[0] for t in page] for page in texts(raw)] == [["1B", "AB"], ["2B", "AB"], ["2B", "AB"]]
+
+
+def test_runs_are_joined_as_a_plain_model_does(spark):
+    draw, rows, wanted = random.Random(4), [], {}
+    for page in range(60):
+        runs = [(draw.choice([0.0, 1.5, 3.0, 9.0, 12.5, 30.0]), draw.choice([0.0, 4.0, 9.0, 9.5]), k, draw.choice([8.0, 10.0]), draw.choice("abé")) for k in range(draw.randint(0, 12))]
+        rows += [("f", page, "page", -1, None, None, None, None, None)] + [("f", page, "text", k, x, y, x + 3.0, size, t) for y, x, k, size, t in runs]
+        found, last = [], None
+        for y, x, k, size, t in sorted(runs, key=lambda r: (-r[0], r[2])):
+            if last is None or last - y > pdf.NEAR:
+                found.append([])
+            found[-1].append((x, k, size, t))
+            last = y
+        for line in found:
+            line.sort()
+        wanted[page] = "\n".join("".join((" " if i and x - (line[i - 1][0] + 3.0) > pdf.GAP * size else "") + t for i, (x, _, size, t) in enumerate(line)) for line in found)
+    frame = spark.createDataFrame(rows, "file string, page int, kind string, seq int, x double, y double, x1 double, size double, text string")
+    out = pdf.page_texts(frame, "file")
+    assert {r["page"]: r["text"] for r in out.collect()} == wanted
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
