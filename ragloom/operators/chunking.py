@@ -131,12 +131,15 @@ def packed_sentences_learnt(sentences: DataFrame, column: str = "sentences", siz
     return bounded(sentences).select("*", F.posexplode(packing(F.col(column))).alias("chunk_no", "chunk")).drop(column)
 
 
-def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int = 50) -> DataFrame:
-    """A row for each chunk (chunk_no, chunk) of word-segmented sentences; progress is certain, since every chunk takes a new sentence."""
+def overlapping(df: DataFrame, sentences_col: str, size: int = 256, overlap: int = 50, line: Callable[[str], str] | None = None) -> DataFrame:
+    """A row for each chunk (chunk_no, chunk) of word-segmented sentences; progress is certain, since every chunk takes a new sentence.
+
+    With `line`, which segments one sentence, the sentences are segmented where they are packed and go to Python once.
+    """
 
     @F.pandas_udf("array<string>")
     def packing(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [] if s is None else pack(list(s), size, overlap))
+        return column.map(lambda s: [] if s is None else pack(list(s) if line is None else list(map(line, s)), size, overlap))
 
     return bounded(df).select("*", F.posexplode(packing(F.col(sentences_col))).alias("chunk_no", "chunk"))
 

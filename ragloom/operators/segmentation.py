@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,11 @@ def run_counts(docs: DataFrame, text_col: str = "text", longest: int = LONGEST)
 
     Every syllable is counted once, with those after it; the shorter runs come from these counts.
     """
-    parts = docs.select(F.explode(F.split(F.lower(F.col(text_col)), _PART)).alias("_part")).select(T.tokens(F.col("_part")).alias("_w")).where(F.size("_w") > 0)
+    # outer ones and a filter behind them: a filter before a generator would split each text once more
+    parts = docs.select(F.explode_outer(F.split(F.lower(F.col(text_col)), _PART)).alias("_part")).select(T.tokens(F.col("_part")).alias("_w"))
     names = [f"_{k}" for k in range(longest)]
     after = [F.slice("_w", k + 1, F.size("_w")).alias(name) for k, name in enumerate(names)]
-    counts = parts.select(F.inline(F.arrays_zip(*after))).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    counts = parts.select(F.inline_outer(F.arrays_zip(*after))).where(F.col(names[0]).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     first = lambda k: F.struct(F.concat_ws(" ", *names[:k]).alias("words"), F.lit(k).alias("size"), F.col(names[k - 1]).isNotNull().alias("whole"))
     runs = counts.select("_n", F.explode(F.array(*(first(k + 1) for k in range(longest)))).alias("_r")).where("_r.whole")
     return runs.groupBy("_r.words", "_r.size").agg(F.sum("_n").alias("n"))
@@ -69,51 +71,77 @@ class Lexicon:
     unknown: float
     longest: int
 
+    @cached_property
+    def _tree(self) -> tuple[dict, int]:
+        """(entries by their syllables: each to the entry's weight or None, and what may follow; an unknown one's weight).
+
+        A weight is the cost in units of its ninth digit and a word in the lowest bits, so sums are exact and compare by cost, then words.
+        """
+        weight = lambda cost: (round(round(cost, 9) * 1e9) << 32) + 1
+        tree: dict = {}
+        for entry, cost in self.costs.items():
+            after, syllables = tree, entry.split(" ")
+            if len(syllables) <= self.longest:
+                for syllable in syllables:
+                    node = after.setdefault(syllable, [None, {}])
+                    after = node[1]
+                node[0] = weight(cost)
+        return tree, weight(self.unknown)
+
     def words(self, syllables: list[str]) -> list[list[str]]:
         """The best segmentation of a run of syllables."""
+        tree, unknown = self._tree
         n, keys = len(syllables), [s.lower() for s in syllables]
-        # from each place on: least cost, words, then the longest first word
-        best: list[tuple] = [(0.0, 0, 0)] * (n + 1)
+        # from each place on: the least weight, and the longest first word of that
+        best, sizes = [0] * (n + 1), [1] * n
         for i in range(n - 1, -1, -1):
-            options = []
-            for size in range(1, min(self.longest, n - i) + 1):
-                cost = self.costs.get(" ".join(keys[i : i + size]), self.unknown if size == 1 else None)
-                if cost is not None:
-                    rest = best[i + size]
-                    options.append((round(cost + rest[0], 9), 1 + rest[1], -size))
-            best[i] = min(options)
+            weight, after = tree.get(keys[i], (None, None))
+            least, j = best[i + 1] + (unknown if weight is None else weight), i + 1
+            while after and j < n and (node := after.get(keys[j])):
+                weight, after = node
+                j += 1
+                if weight is not None and weight + best[j] <= least:
+                    least, sizes[i] = weight + best[j], j - i
+            best[i] = least
         out, i = [], 0
         while i < n:
-            out.append(syllables[i : i - best[i][2]])
-            i -= best[i][2]
+            out.append(syllables[i : i + sizes[i]])
+            i += sizes[i]
         return out
 
     def line(self, sentence: str) -> str:
         """A sentence with the syllables of a word joined by `_`; punctuation parts words and stays with its syllable."""
-        out, held = [], []
+        out, held, begin = [], [], ""
         for token in sentence.split():
-            head, bare, tail = _TOKEN.fullmatch(token).groups()
+            head, bare, tail = ("", token, "") if token.isalnum() else _bare(token)
             if held and head:
-                out += self._joined(held)
+                out += self._joined(begin, held)
                 held = []
-            held.append((head, bare, tail))
+            begin = begin if held else head
+            held.append(bare)
             if tail:
-                out += self._joined(held)
+                out += self._joined(begin, held, tail)
                 held = []
-        return " ".join(out + self._joined(held))
+        return " ".join(out + self._joined(begin, held))
 
-    def _joined(self, held: list[tuple[str, str, str]]) -> list[str]:
+    def _joined(self, head: str, held: list[str], tail: str = "") -> list[str]:
         if not held:
             return []
-        words = ["_".join(w) for w in self.words([bare for _, bare, _ in held])]
-        words[0] = held[0][0] + words[0]
-        words[-1] += held[-1][2]
+        words = ["_".join(w) for w in self.words(held)]
+        words[0] = head + words[0]
+        words[-1] += tail
         return words
 
 
 _TOKEN = re.compile(r"(\W*)(.*?)(\W*)", re.S)
 
 
+@lru_cache(1 << 14)
+def _bare(token: str) -> tuple[str, str, str]:
+    """What is before a token's syllable, the syllable, and what is behind it."""
+    return _TOKEN.fullmatch(token).groups()
+
+
 def learnt(docs: DataFrame, text_col: str = "text", most: int = MOST, longest: int = LONGEST, least: int = LEAST, together: float = TOGETHER) -> Lexicon:
     """The lexicon of a corpus: its entries of several syllables and its syllables, the `most` most frequent of each (their number bounds the model)."""
     counts = _frequent(docs, text_col, longest, least)

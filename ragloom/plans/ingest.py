@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.functions import links as L
-from ragloom.functions.text import SPACE
+from ragloom.functions.text import SPACE, nonblank, sentences
 from ragloom.operators import chunking as K
 from ragloom.operators import segmentation as S
 from ragloom.operators.declared import Declared
@@ -99,5 +99,5 @@ def lexicon_entries(spark, d):
 def segmented_chunks(spark, d):
     """Chunks of 256 words with overlap of sentences whose words were joined by the learnt lexicon; a plain model in the tests gives the same."""
     docs = table(spark, d, "documents")
-    parts = docs.select("doc_id", S.segmented(F.col("text"), S.learnt(docs)).alias("sentences"))
-    return K.overlapping(parts, "sentences").drop("sentences")
+    parts = docs.select("doc_id", nonblank(sentences(F.col("text"))).alias("sentences"))
+    return K.overlapping(parts, "sentences", line=S.learnt(docs).line).drop("sentences")

@@ -101,3 +101,24 @@ def test_meaning_breaks_without_a_shuffle(spark, monkeypatch):
     twice = rows(chunking.semantic_parts_counted(docs.union(docs), places))
     assert twice == sorted(2 * rows(chunking.semantic_parts_counted(docs, places)))
     assert "Exchange" not in registry.QUERIES["semantic_parts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_to_segment_go_to_python_once(spark, monkeypatch):
+    seen, overlapping = [], chunking.overlapping
+    monkeypatch.setattr(chunking, "overlapping", lambda *a, **b: seen.append(overlapping(*a, **b)) or seen[-1])
+    registry.QUERIES["segmented_chunks"](spark, SF)
+    assert seen[0].drop("sentences")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+
+
+def test_texts_are_split_once_for_counts(spark):
+    plan = segmentation.run_counts(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the texts, and their parts
+
+
+def test_equal_paths_take_fewer_then_longer_words():
+    lexicon = segmentation.Lexicon({"a": 0.1, "b": 0.2, "c": 0.3, "a b": 0.3, "b c": 0.5, "a b c": 0.6}, 9.0, 3)
+    assert lexicon.words(["a", "b", "c"]) == [["a", "b", "c"]]  # all cost 0.6 but for what floats leave
+    two = segmentation.Lexicon({"a": 0.1, "b": 5.0, "c": 0.1, "a b": 0.7, "b c": 0.7}, 9.0, 3)
+    assert two.words(["a", "B", "c"]) == [["a", "B"], ["c"]] and two.words(["b", "x"]) == [["b"], ["x"]]
+    assert two.line("a, b (c) x-y a") == "a, b (c) x-y a" and two.line("«A b» c") == "«A_b» c"
+    assert segmentation.Lexicon({"a": 1.0, "b": 1.0, "a b": 0.1}, 9.0, 1).words(["a", "b"]) == [["a"], ["b"]]
