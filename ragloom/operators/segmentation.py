@@ -72,12 +72,8 @@ class Lexicon:
     longest: int
 
     @cached_property
-    def _tree(self) -> tuple[dict, int]:
-        """(entries by their syllables: each to the entry's weight or None, and what may follow; an unknown one's weight).
-
-        A weight is the cost in units of its ninth digit and a word in the lowest bits, so sums are exact and compare by cost, then words.
-        """
-        weight = lambda cost: (round(round(cost, 9) * 1e9) << 32) + 1
+    def _tree(self) -> dict:
+        """Entries by their syllables: each to the entry's cost or None, and what may follow."""
         tree: dict = {}
         for entry, cost in self.costs.items():
             after, syllables = tree, entry.split(" ")
@@ -85,24 +81,24 @@ class Lexicon:
                 for syllable in syllables:
                     node = after.setdefault(syllable, [None, {}])
                     after = node[1]
-                node[0] = weight(cost)
-        return tree, weight(self.unknown)
+                node[0] = cost
+        return tree
 
     def words(self, syllables: list[str]) -> list[list[str]]:
         """The best segmentation of a run of syllables."""
-        tree, unknown = self._tree
+        tree, unknown = self._tree, self.unknown
         n, keys = len(syllables), [s.lower() for s in syllables]
-        # from each place on: the least weight, and the longest first word of that
-        best, sizes = [0] * (n + 1), [1] * n
+        # from each place on: least cost, words, then the longest first word
+        costs, words, sizes = [0.0] * (n + 1), [0] * (n + 1), [1] * n
         for i in range(n - 1, -1, -1):
-            weight, after = tree.get(keys[i], (None, None))
-            least, j = best[i + 1] + (unknown if weight is None else weight), i + 1
+            cost, after = tree.get(keys[i], (None, None))
+            least, many, j = round((unknown if cost is None else cost) + costs[i + 1], 9), words[i + 1], i + 1
             while after and j < n and (node := after.get(keys[j])):
-                weight, after = node
+                cost, after = node
                 j += 1
-                if weight is not None and weight + best[j] <= least:
-                    least, sizes[i] = weight + best[j], j - i
-            best[i] = least
+                if cost is not None and ((whole := round(cost + costs[j], 9)) < least or whole == least and words[j] <= many):
+                    least, many, sizes[i] = whole, words[j], j - i
+            costs[i], words[i] = least, many + 1
         out, i = [], 0
         while i < n:
             out.append(syllables[i : i + sizes[i]])
